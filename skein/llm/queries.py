@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from skein.llm.bpe import op9_bpe_tree
 from skein.llm.chat import op1_chat_windows
+from skein.llm.packing import op4_variable_best_fit
 from skein.llm.pii import op10_semi_markov_pii
 from skein.llm.quality import op6_weak_supervision
 from skein.llm.shards import op3_minimax_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_windows, op3_minimax_shards, op6_weak_supervision, op9_bpe_tree, op10_semi_markov_pii)
+    for f in (op1_chat_windows, op3_minimax_shards, op4_variable_best_fit, op6_weak_supervision, op9_bpe_tree, op10_semi_markov_pii)
 }
 
 #: None of these can be stated in plain SQL as a whole; each is tested against a plain
