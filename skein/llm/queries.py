@@ -8,10 +8,19 @@ from skein.llm.packing import op4_variable_best_fit
 from skein.llm.pii import op10_semi_markov_pii
 from skein.llm.quality import op6_weak_supervision
 from skein.llm.shards import op3_minimax_shards
+from skein.llm.suffix import op8_prefix_doubling
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_windows, op3_minimax_shards, op4_variable_best_fit, op6_weak_supervision, op9_bpe_tree, op10_semi_markov_pii)
+    for f in (
+        op1_chat_windows,
+        op3_minimax_shards,
+        op4_variable_best_fit,
+        op6_weak_supervision,
+        op8_prefix_doubling,
+        op9_bpe_tree,
+        op10_semi_markov_pii,
+    )
 }
 
 #: None of these can be stated in plain SQL as a whole; each is tested against a plain
