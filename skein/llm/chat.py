@@ -20,7 +20,7 @@ text yields an empty target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -42,34 +42,33 @@ def _role_in(c):
     return F.replace(F.replace(unescape(c), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-#: Spans of one segment as struct(hist, start, end); p holds prefix sums with p[0] = 0.
+#: Spans of one segment as struct(hist, start, end). Each turn knows the tokens before it
+#: and the first turn of the history it may repeat, so this is one pass.
 _SPANS = """
 aggregate(
-  sequence(0, size(turns) - 1),
-  named_struct('start', 0, 'hist', 0, 'used', 0L,
+  sequence(lead, size(turns) - 1),
+  named_struct('start', lead, 'hist', lead, 'used', if(lead = 1, sys_tokens, 0L),
                'spans', cast(array() as array<struct<hist:int,start:int,end:int>>)),
   (a, i) -> if(
     i = a.start or a.used + turns[i].tokens <= {budget},
     named_struct('start', a.start, 'hist', a.hist, 'used', a.used + turns[i].tokens, 'spans', a.spans),
     named_struct(
       'start', i,
-      'hist', greatest(head, least(i, size(filter(p, x -> x < p[i] - {history})))),
-      'used', sys_tokens + p[i] - p[greatest(head, least(i, size(filter(p, x -> x < p[i] - {history}))))] + turns[i].tokens,
+      'hist', greatest(head, turns[i].hist),
+      'used', sys_tokens + turns[i].before - turns[greatest(head, turns[i].hist)].before + turns[i].tokens,
       'spans', concat(a.spans, array(named_struct('hist', a.hist, 'start', a.start, 'end', i))))),
   a -> concat(a.spans, array(named_struct('hist', a.hist, 'start', a.start, 'end', size(turns)))))
 """
 
-#: Turns of one window; ctx: repeated, target: under the loss mask.
-_WINDOW = """
-concat(
-  if(span.start > 0 or seg_no > 0,
-     if(sys is null, cast(array() as array<struct<role:string,text:string,ctx:boolean,target:boolean>>),
-        array(named_struct('role', sys.role, 'text', sys.text, 'ctx', true, 'target', false))),
-     cast(array() as array<struct<role:string,text:string,ctx:boolean,target:boolean>>)),
+#: Turns of each window; ctx: repeated, target: under the loss mask.
+_WINDOWS = """
+transform(spans, span -> concat(
+  transform(slice(turns, 1, if(span.start > 0, head, 0)),
+     t -> named_struct('role', t.role, 'text', t.text, 'ctx', true, 'target', false)),
   transform(slice(turns, span.hist + 1, if(span.start > 0, span.start - span.hist, 0)),
      t -> named_struct('role', t.role, 'text', t.text, 'ctx', true, 'target', false)),
   transform(slice(turns, span.start + 1, span.end - span.start),
-     t -> named_struct('role', t.role, 'text', t.text, 'ctx', false, 'target', t.role = 'assistant')))
+     t -> named_struct('role', t.role, 'text', t.text, 'ctx', false, 'target', t.role = 'assistant'))))
 """
 
 #: Character spans (start from 0, length) of the loss mask inside the rendered window.
@@ -90,32 +89,32 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, segmen
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     ).withColumn("seg", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(2**62))).cast("long"))
+    # The leading system turn of a conversation serves its later segments too. These are
+    # rare, so this side holds system turns of long conversations only; it joins before
+    # the grouping, whose projections are large enough without a join among them.
+    lead = rows.groupBy("conv_id").agg(
+        F.min("seg").alias("first_seg"), F.max("seg").alias("last_seg"), F.min(F.struct("turn", "role", "text")).alias("lead"),
+    ).filter("first_seg < last_seg and lead.role = 'system'")
+    later = rows.select("conv_id", "seg").distinct().alias("r").join(
+        lead.alias("l"), F.col("r.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("seg") > F.col("first_seg"))
+    ).select("r.conv_id", F.col("lead.turn").alias("turn"), F.col("lead.role").alias("role"), F.col("lead.text").alias("text"), "seg", F.lit(0).alias("own"))
+    rows = rows.withColumn("own", F.lit(1)).unionByName(later)
     tokens = F.regexp_count("text", F.lit(r"\S+")).cast("long") + 4
-    grouped = rows.groupBy("conv_id", "seg").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("turn"), F.col("role"), F.col("text"), tokens.alias("tokens")))).alias("turns")
-    )
-    # The leading system turn of a conversation serves its later segments too; those are
-    # rare, so this side holds system turns of long conversations only.
-    spread = rows.groupBy("conv_id").agg(
-        F.min("seg").alias("first_seg"),
-        F.max("seg").alias("last_seg"),
-        F.min(F.struct("turn", "role", "text")).alias("lead"),
-    ).filter("first_seg < last_seg").select(
-        "conv_id", "first_seg",
-        F.when(F.col("lead.role") == "system", F.struct("lead.role", "lead.text")).alias("long_sys"),
-    )
-    g = grouped.alias("g").join(spread.alias("s"), F.col("g.conv_id").eqNullSafe(F.col("s.conv_id")), "left").select(
-        "g.conv_id", "seg", "turns",
-        F.when(F.col("first_seg") < F.col("seg"), 1).otherwise(0).alias("seg_no"), "long_sys",
+    whole = Window.partitionBy("conv_id", "seg")
+    place = whole.orderBy("own", "turn", "role", "text")
+    rows = rows.withColumn("tokens", tokens).withColumns({
+        "i": F.row_number().over(place) - 1,
+        "before": F.sum("tokens").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"),
+    })
+    rows = rows.withColumn("hist", F.min("i").over(whole.orderBy("before").rangeBetween(-int(history), 0)))
+    g = rows.groupBy("conv_id", "seg").agg(
+        F.sort_array(F.collect_list(F.struct("i", "own", "role", "text", "tokens", "before", "hist"))).alias("turns")
     )
-    g = g.withColumn("own_sys", F.expr("if(turns[0].role = 'system', named_struct('role', turns[0].role, 'text', turns[0].text), null)"))
-    g = g.withColumn("sys", F.expr("if(seg_no = 0, own_sys, long_sys)"))
-    g = g.withColumn("head", F.expr("if(seg_no = 0 and own_sys is not null, 1, 0)"))
-    g = g.withColumn("sys_tokens", F.when(F.col("sys").isNull(), F.lit(0)).otherwise(F.regexp_count(F.col("sys.text"), F.lit(r"\S+")) + 4).cast("long"))
-    g = g.withColumn("p", F.expr("aggregate(turns, array(0L), (a, t) -> concat(a, array(element_at(a, -1) + t.tokens)))"))
-    g = g.withColumn("spans", F.expr(_SPANS.format(budget=int(budget), history=int(history))))
-    w = g.select("conv_id", "seg", "seg_no", "turns", "sys", F.posexplode("spans").alias("window", "span"))
-    w = w.withColumn("members", F.expr(_WINDOW))
+    g = g.withColumn("lead", F.expr("1 - turns[0].own"))
+    g = g.withColumn("head", F.expr("if(turns[0].role = 'system', 1, 0)"))
+    g = g.withColumn("sys_tokens", F.expr("if(head = 1, turns[0].tokens, 0L)"))
+    g = g.withColumn("spans", F.expr(_SPANS.format(budget=int(budget))))
+    w = g.select("conv_id", "seg", F.posexplode(F.expr(_WINDOWS)).alias("window", "members"))
     shown = F.transform(
         "members",
         lambda t: F.struct(
