@@ -199,7 +199,8 @@ def settle(rows: pa.Table) -> pa.Table:
     """
     out = []
     for no in sorted(set(rows.column("round").to_pylist())):
-        mine = rows.filter(pc.equal(rows.column("round"), no))
+        # by batch, so that every evaluation (a retried task too) chooses the same ones
+        mine = rows.filter(pc.equal(rows.column("round"), no)).sort_by("sa_batch")
         data = [x.as_py() for x in mine.column("data")]
         width = 17 if no == 1 else 9
         sizes = [len(d) // width for d in data]
