@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.llm.bpe import op9_bpe_tree
 from skein.llm.chat import op1_chat_windows
+from skein.llm.fingerprints import op5_bloom_lookup_sketch
 from skein.llm.jaccard import op7_adaptive_prefix_join
 from skein.llm.packing import op4_variable_best_fit
 from skein.llm.pii import op10_semi_markov_pii
@@ -17,6 +18,7 @@ QUERIES = {
         op1_chat_windows,
         op3_minimax_shards,
         op4_variable_best_fit,
+        op5_bloom_lookup_sketch,
         op6_weak_supervision,
         op7_adaptive_prefix_join,
         op8_prefix_doubling,
