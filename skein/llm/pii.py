@@ -311,6 +311,24 @@ def find(docs: DataFrame, w: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
+def redact(docs: DataFrame, w: dict) -> DataFrame:
+    """All rows and columns of ``docs`` with personal data masked in text, and n_chars to match."""
+    shared = docs.sparkSession.sparkContext.broadcast(w)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            at = names.index("text")
+            texts = [None if t is None else mask(t, spans(shared.value, t)) for t in batch.column(at).to_pylist()]
+            cols = list(batch.columns)
+            cols[at] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                cols[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_semi_markov_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find(docs, fit(docs)).drop("masked")

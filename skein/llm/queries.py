@@ -6,6 +6,7 @@ from skein.llm.bpe import op9_bpe_tree
 from skein.llm.chat import op1_chat_windows
 from skein.llm.fingerprints import op5_bloom_lookup_sketch
 from skein.llm.jaccard import op7_adaptive_prefix_join
+from skein.llm.maxent import op2_class_maxent
 from skein.llm.packing import op4_variable_best_fit
 from skein.llm.pii import op10_semi_markov_pii
 from skein.llm.quality import op6_weak_supervision
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_windows,
+        op2_class_maxent,
         op3_minimax_shards,
         op4_variable_best_fit,
         op5_bloom_lookup_sketch,

@@ -15,10 +15,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def words(data: np.ndarray, begins: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word; documents begin at ``begins``."""
+def words(data: np.ndarray, begins: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word; documents begin at ``begins``."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = inside[1:] != inside[:-1]
@@ -41,7 +41,7 @@ def words(data: np.ndarray, begins: np.ndarray, lower: bool = True) -> tuple[np.
         s = Slice(_LOWER[data[a:b]] if lower else data[a:b])
         out[at:upto] = mix(s.stretch(starts[at:upto] - a, ends[at:upto] - a))
         at = upto
-    return starts, out
+    return starts, ends, out
 
 
 def chunks(texts):
@@ -67,7 +67,7 @@ def layout(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shingle_sets(rows) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all documents in document order, and the border before each document."""
     data, begins, ends = layout(rows)
-    starts, h = words(data, begins)
+    starts, _, h = words(data, begins)
     first = np.searchsorted(starts, begins)
     count = np.searchsorted(starts, ends) - first
     made = np.maximum(0, count - SIZE + 1)
