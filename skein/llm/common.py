@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,7 +40,28 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    out._skein_path = path
+    return out
+
+
+#: Tables of this process that have not been deleted.
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that only written results were made from (none named: all of this application).
+
+    Shuffle files of plans that nothing refers to any more go too, once the JVM collects them.
+    """
+    mine = [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]
+    for path in [t._skein_path for t in tables] or mine:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ its own l: the one for which the postings its longer prefix opens and the candid
 are expected to share l of them cost least. A pair is verified, over whole sets, if it
 shares as many prefix tokens as the smaller of its two l.
 
+Before that, pairs are held against parity bitmaps of their sets, half a byte a shingle:
+where bits differ so do elements, which bounds the symmetric difference from below, so what
+this rules out is no link. Whole sets travel only for documents of pairs that are left.
+
 Equal sets are one node from the start. Links only matter between different components, so
 cheap rounds come first: every document is verified against the leader of the posting list
 it shares most with, another leader each round. What is left of the posting lists are lists
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, table
+from skein.llm.common import cut, discard, table
 from skein.llm.components import components
 from skein.llm.shingles import chunks, shingle_sets
 
@@ -92,7 +96,14 @@ def _prefix(tokens: np.ndarray, level: np.ndarray) -> tuple[int, np.ndarray]:
     return best, tokens[order[: n - need + best]]
 
 
-_INDEX = "doc_id long, n long, h1 long, h2 long, ell int, prefix array<long>"
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap of 4 to 8 bits a token: a bit is how many tokens hash to it, modulo 2."""
+    m = max(64, 1 << (4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_INDEX = "doc_id long, n long, h1 long, h2 long, ell int, prefix array<long>, bits array<long>"
 
 
 def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
@@ -105,12 +116,14 @@ def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
             for rows in chunks(batch.column(1)):
                 tokens, at = shingle_sets(rows)
                 size = np.diff(at)
-                ells, prefixes, cuts = [], [], [0]
+                ells, prefixes, cuts, bits, bit_cuts = [], [], [0], [], [0]
                 for a, b in zip(at[:-1], at[1:]):
                     ell, p = _prefix(tokens[a:b], shared.value) if b > a else (0, tokens[a:b])
                     ells.append(ell)
                     prefixes.append(p)
                     cuts.append(cuts[-1] + len(p))
+                    bits.append(_parity(tokens[a:b]))
+                    bit_cuts.append(bit_cuts[-1] + len(bits[-1]))
                 flat = np.concatenate(prefixes).view(np.int64)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens, dtype=np.uint64)])
                 more = tokens * np.uint64(MIX)
@@ -119,7 +132,8 @@ def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
                     ids.slice(rows[0][0], len(rows)), pa.array(size, pa.int64()),
                     pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)),
                     pa.array(ells, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
-                ], names=["doc_id", "n", "h1", "h2", "ell", "prefix"])
+                    pa.ListArray.from_arrays(pa.array(bit_cuts, pa.int32()), pa.array(np.concatenate(bits))),
+                ], names=["doc_id", "n", "h1", "h2", "ell", "prefix", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _INDEX)
 
@@ -174,34 +188,44 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.alias("s").join(wanted.alias("w"), on).select("nid", "tokens")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) with Jaccard 0.8 or more over whole sets."""
+    xa = nodes.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    xb = nodes.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
+    apart = F.expr(f"aggregate(zip_with({fold.format('x', 'y')}, {fold.format('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    left = cut(pairs.join(xa, "a").join(xb, "b").filter(9 * apart <= F.col("na") + F.col("nb")).select("a", "b").distinct())
+    ends = left.select(F.col("a").alias("nid")).unionByName(left.select(F.col("b").alias("nid"))).distinct()
+    sets = table(_sets(docs, nodes.join(ends, "nid").select("nid", "doc_id", "n", "h1", "h2")), "jaccard-sets")
     first = sets.select(F.col("nid").alias("a"), F.col("tokens").alias("ta"))
     second = sets.select(F.col("nid").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(first, "a").join(second, "b")
+    found = cut(
+        left.join(first, "a").join(second, "b")
         .filter(100 * common >= 80 * (F.size("ta") + F.size("tb") - common))
         .select("a", "b").distinct()
     )
+    discard(docs.sparkSession, sets)
+    return found
 
 
 def similar_components(docs: DataFrame, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, and the 128-bit hash of its set."""
     level = levels(frequency(docs))
-    work = table(index(docs, level), "jaccard-index")
-    nodes = table(
-        work.filter("n > 0").groupBy("n", "h1", "h2").agg(
-            F.min("doc_id").alias("low"), F.first(F.struct("doc_id", "ell", "prefix")).alias("x")
+    wide = table(index(docs, level), "jaccard-index")
+    work = table(wide.drop("ell", "prefix", "bits"), "jaccard-documents")
+    prefixes = table(
+        wide.filter("n > 0").groupBy("n", "h1", "h2").agg(
+            F.min("doc_id").alias("low"), F.first(F.struct("doc_id", "ell", "prefix", "bits")).alias("x")
         ).select(F.monotonically_increasing_id().alias("nid"), "n", "h1", "h2", "low", "x.*"),
-        "jaccard-nodes",
+        "jaccard-prefixes",
     )
-    posts = nodes.select("nid", "n", "ell", F.explode("prefix").alias("token"))
+    discard(docs.sparkSession, wide)
+    nodes = table(prefixes.drop("ell", "prefix"), "jaccard-nodes")
+    posts = prefixes.select("nid", F.col("n").cast("int").alias("n"), "ell", F.explode("prefix").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     posts = table(posts.join(shared, "token"), "jaccard-postings")
-    wanted = nodes.join(posts.select("nid").distinct(), "nid").select("nid", "doc_id", "n", "h1", "h2")
-    sets = table(_sets(docs, wanted), "jaccard-sets")
-
+    discard(docs.sparkSession, prefixes)
     edges = cut(docs.sparkSession.createDataFrame([], "a long, b long"))
     tried = edges
     comp = None
@@ -217,7 +241,7 @@ def similar_components(docs: DataFrame, rounds: int = 4) -> DataFrame:
         )
         best = met.groupBy("nid", "lead").count().groupBy("nid").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
         pairs = cut(best.select(F.greatest("nid", "lead").alias("a"), F.least("nid", "lead").alias("b")).distinct())
-        found = cut(_verify(pairs.join(tried, ["a", "b"], "left_anti"), sets))
+        found = _verified(pairs.join(tried, ["a", "b"], "left_anti"), docs, nodes)
         tried = tried.unionByName(pairs)
         if found.isEmpty():
             break
@@ -232,7 +256,7 @@ def similar_components(docs: DataFrame, rounds: int = 4) -> DataFrame:
         pairs = both.groupBy(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).agg(
             F.count("*").alias("c"), F.min(F.least("x.ell", "y.ell")).alias("ell")
         ).filter("c >= ell").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        found = cut(_verify(pairs, sets))
+        found = _verified(pairs, docs, nodes)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             comp = components(edges)
