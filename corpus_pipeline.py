@@ -7,11 +7,13 @@ their operators define them; a text emptied by a stage stays as an empty documen
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import jaccard, packing, pii, quality, suffix
-from skein.llm.common import cut, documents, table
+from skein.llm.common import cut, discard, documents, shared_dir
 
 #: Dropped row numbers up to this many are broadcast (8 bytes each), beyond it joined.
 FEW = 4_000_000
@@ -19,12 +21,14 @@ FEW = 4_000_000
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rules and the posterior of the weak supervision."""
-    judged = quality.judge(table(quality.measure(docs), "stage-quality"))
+    discard(spark)
+    judged = quality.judge(quality.measure(docs))  # measured twice rather than written: texts are the size of the input
     return judged.filter("q_kept").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each component of near-duplicates; texts without words all stay."""
+    discard(spark)
     numbered = docs.withColumn("row_no", F.monotonically_increasing_id())
     found = jaccard.similar_components(numbered.select(F.col("row_no").alias("doc_id"), "text"))
     drop = cut(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("row_no")))
@@ -35,6 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte of a 200-byte string that occurs more than once."""
+    discard(spark)
     out = suffix.dedup(docs)
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
@@ -43,11 +48,13 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind in brackets in the place of personal data."""
+    discard(spark)
     return pii.redact(docs, pii.fit(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the permitted lengths: one row per document piece."""
+    discard(spark)
     return packing.pack(docs)
 
 
@@ -65,9 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, keep = documents(spark, sf_dir), uuid.uuid4().hex
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = table(docs, f"pipeline-{name}")
+            path = f"{shared_dir(spark).rstrip('/')}/pipeline-{keep}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
