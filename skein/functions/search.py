@@ -39,7 +39,10 @@ def full_text_search_ranked(nodes: DataFrame, field: str, query: str, k: int = 1
     if not want:
         return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
     toks = nodes.select("id", tokens(F.col(field)).alias("w")).withColumn("n", F.size("w"))
-    tfs = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(want)]
+    def times(t):
+        return F.size(F.filter("w", lambda x: x == t))
+
+    tfs = [times(t).alias(f"t{i}") for i, t in enumerate(want)]
     toks = toks.select("id", "n", *tfs)
     stats = toks.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(want))))
     rows = toks.filter(" or ".join(f"t{i} > 0" for i in range(len(want)))).crossJoin(F.broadcast(stats))

@@ -118,8 +118,8 @@ QUERIES = {
     "bi_q17": ("""
         WITH msg AS (SELECT m.id, m.creator, m.ms, m.parent, m.is_comment, th.forum FROM {message} m JOIN {thread} th ON th.id = m.id JOIN (SELECT DISTINCT message FROM {has_tag} WHERE tag BETWEEN :lo AND :hi) h ON h.message = m.id),
         link AS (SELECT c.creator AS p2, m2.creator AS p3, m2.id AS msg2, m2.ms AS ms2, m2.forum AS f2 FROM msg c JOIN msg m2 ON m2.id = c.parent WHERE c.is_comment AND c.creator <> m2.creator),
-        both AS (SELECT DISTINCT a.forum, l.msg2, l.ms2, l.f2 FROM link l JOIN {member} a ON a.person = l.p2 JOIN {member} b ON b.forum = a.forum AND b.person = l.p3 WHERE a.forum <> l.f2),
-        hit AS (SELECT DISTINCT m1.creator AS p1, l.msg2, l.f2 FROM both l JOIN msg m1 ON m1.forum = l.forum WHERE l.ms2 > m1.ms + :delta * 3600000)
+        seen AS (SELECT DISTINCT a.forum, l.msg2, l.ms2, l.f2 FROM link l JOIN {member} a ON a.person = l.p2 JOIN {member} b ON b.forum = a.forum AND b.person = l.p3 WHERE a.forum <> l.f2),
+        hit AS (SELECT DISTINCT m1.creator AS p1, l.msg2, l.f2 FROM seen l JOIN msg m1 ON m1.forum = l.forum WHERE l.ms2 > m1.ms + :delta * 3600000)
         SELECT hit.p1 AS person, count(DISTINCT hit.msg2) AS messages FROM hit WHERE NOT EXISTS (SELECT 1 FROM {member} x WHERE x.forum = hit.f2 AND x.person = hit.p1)
         GROUP BY hit.p1 ORDER BY messages DESC, person LIMIT 10""", {"lo": 1, "hi": 120, "delta": 1}),
     # strangers with a common interest and many common friends
