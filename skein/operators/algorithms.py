@@ -125,7 +125,7 @@ def exact(got: DataFrame, want: DataFrame, column: str) -> bool:
 def close(got: DataFrame, want: DataFrame, column: str, epsilon: float = 1e-6) -> bool:
     """Values within ``epsilon`` (relative where over 1), infinity equal to itself."""
     j = got.select("id", F.col(column).alias("g")).join(want.select("id", F.col(column).alias("w")), "id", "full")
-    bad = F.expr(f"g is null or w is null or (g <> w and not abs(g - w) <= {epsilon} * greatest(1.0, abs(w)))")
+    bad = F.expr(f"g is null or w is null or (g <> w and (abs(g) = double('infinity') or abs(w) = double('infinity') or not abs(g - w) <= {epsilon} * greatest(1.0, abs(w))))")
     return j.filter(bad).isEmpty()
 
 

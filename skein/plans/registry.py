@@ -276,8 +276,8 @@ def geo_nearest(spark, sf_dir):
 SEARCH = {f.__name__: f for f in (fts_bm25, geo_nearest)}
 SEARCH_SQL = {
     "fts_bm25": """
-        WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '') AS w FROM documents),
-        f AS (SELECT id, len(w) AS n, len(list_filter(w, x -> x = 'the')) AS a, len(list_filter(w, x -> x = 'of')) AS b FROM d),
+        WITH d AS (SELECT doc_id AS id, [t for t in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if t <> ''] AS w FROM documents),
+        f AS (SELECT id, len(w) AS n, len([x for x in w if x = 'the']) AS a, len([x for x in w if x = 'of']) AS b FROM d),
         s AS (SELECT count(*) AS docs, avg(n) AS avg_n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f)
         SELECT id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / avg_n)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / avg_n)), 6) AS score
         FROM f CROSS JOIN s WHERE a > 0 OR b > 0 ORDER BY ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / avg_n)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / avg_n)) DESC, id LIMIT 10""",
