@@ -31,9 +31,9 @@ class PropertyGraph:
         text = views.dialect(text, "spark")
         return self.spark.sql(text, **{n: have[n] for n in views.names(text)})
 
-    def nodes(self, name: str, **where) -> DataFrame:
+    def nodes(self, label: str, /, **where) -> DataFrame:
         """Nodes of a label whose properties have the given values."""
-        df = self.tables[name]
+        df = self.tables[label]
         for k, v in where.items():
             df = df.filter(F.col(k) == v)
         return df
