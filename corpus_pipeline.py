@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import jaccard, packing, pii, quality, suffix
-from skein.llm.common import cut, discard, documents, shared_dir
+from skein.llm.common import cut, discard, documents, shared_dir, table
 
 #: Dropped row numbers up to this many are broadcast (8 bytes each), beyond it joined.
 FEW = 4_000_000
@@ -22,7 +22,8 @@ FEW = 4_000_000
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rules and the posterior of the weak supervision."""
     discard(spark)
-    judged = quality.judge(quality.measure(docs))  # measured twice rather than written: texts are the size of the input
+    # written, as a filter on the verdict would else be pushed into the measuring expressions
+    judged = quality.judge(table(quality.measure(docs), "stage-quality"))
     return judged.filter("q_kept").select(*docs.columns)
 
 
