@@ -78,6 +78,10 @@ def under(g: PropertyGraph, name: str, p: dict) -> DataFrame:
 
 
 def hits(g: PropertyGraph, name: str, p: dict) -> DataFrame:
+    """Works with the words; one made of a document is searched in the whole of its text."""
+    if "documents" in g:
+        docs = g["documents"].select(F.col("doc_id").alias("id"), "text")
+        return full_text_search(docs, ["text"], p["words"])
     return full_text_search(g["work"], p["fields"].split(","), p["words"])
 
 
