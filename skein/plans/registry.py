@@ -229,7 +229,7 @@ def ga_cdlp(spark, sf_dir):
 
 def ga_lcc(spark, sf_dir):
     v, e = _transfers(spark, sf_dir)
-    return algorithms.lcc(v, e.filter("weight > 60")).select("id", F.round("lcc", 6).alias("lcc"))
+    return algorithms.lcc(v, e).select("id", F.round("lcc", 6).alias("lcc"))
 
 
 def _unrolled(first: str, step: str, rounds: int) -> str:
