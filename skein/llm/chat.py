@@ -3,7 +3,8 @@
 A conversation is rendered as one or more windows. Prefix sums of turn tokens choose the
 spans: a window takes new turns while system turn, repeated history and new turns fit in
 ``budget`` tokens (one new turn at least). Each later window repeats the system turn and
-the latest earlier turns of ``history`` tokens at most. Only assistant turns that are new
+the latest earlier turns of ``history`` tokens at most, fewer where the first new turn
+would pass the budget with them. Only assistant turns that are new
 in a window are under its loss mask, so every assistant text is a target exactly once.
 
 Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. In texts and roles every ``<``,
@@ -13,9 +14,10 @@ in roles ``%`` and line breaks are percent-coded as well. Both are undone exactl
 Defined cases: null role or text is the empty string; null conv_id is a conversation of
 its own; null turn sorts first; equal turns are ordered by role, then text, and repeated
 rows are all kept; an empty table gives no rows; further columns are ignored. A
-conversation longer than ``segment`` turn numbers is windowed in segments of that many
-(history does not reach across), so no task gathers an unbounded conversation; an empty
-text yields an empty target.
+conversation of more than ``segment`` rows is windowed in segments of that many, so no task
+gathers an unbounded conversation; a window ends with its segment, and the next segment
+repeats the system turn and the history as any window does. An empty text yields an empty
+target.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -42,20 +46,26 @@ def _role_in(c):
     return F.replace(F.replace(unescape(c), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-#: Spans of one segment as struct(hist, start, end). Each turn knows the tokens before it
-#: and the first turn of the history it may repeat, so this is one pass.
+#: First turn of the history that a window opening at turn i repeats, within the budget.
+_HIST = """element_at(filter(sequence(greatest(head, turns[{i}].hist), {i}),
+  h -> turns[{i}].before - turns[h].before <= greatest(0L, {budget} - sys_tokens - turns[{i}].tokens)), 1)"""
+
+#: Spans of one segment as struct(hist, start, end), from the ``lead`` rows on that are
+#: only repeated. Each turn knows the tokens before it and the first turn of the history
+#: it may repeat, so this is one pass.
 _SPANS = """
 aggregate(
   sequence(lead, size(turns) - 1),
-  named_struct('start', lead, 'hist', lead, 'used', if(lead = 1, sys_tokens, 0L),
+  named_struct('start', lead, 'hist', first_hist,
+               'used', if(lead > 0, sys_tokens + turns[lead].before - turns[first_hist].before, 0L),
                'spans', cast(array() as array<struct<hist:int,start:int,end:int>>)),
   (a, i) -> if(
     i = a.start or a.used + turns[i].tokens <= {budget},
     named_struct('start', a.start, 'hist', a.hist, 'used', a.used + turns[i].tokens, 'spans', a.spans),
     named_struct(
       'start', i,
-      'hist', greatest(head, turns[i].hist),
-      'used', sys_tokens + turns[i].before - turns[greatest(head, turns[i].hist)].before + turns[i].tokens,
+      'hist', {hist},
+      'used', sys_tokens + turns[i].before - turns[{hist}].before + turns[i].tokens,
       'spans', concat(a.spans, array(named_struct('hist', a.hist, 'start', a.start, 'end', i))))),
   a -> concat(a.spans, array(named_struct('hist', a.hist, 'start', a.start, 'end', size(turns)))))
 """
@@ -81,6 +91,42 @@ aggregate(shown, named_struct('at', 0, 'out', cast(array() as array<struct<start
 """
 
 
+def _numbered(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """Rows of the ``long`` conversations with ``rn``, their place from 0.
+
+    Range partitions are sorted and counted, so no task sorts a whole conversation.
+    """
+    key = ["conv_id", "turn", "role", "text"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = rows.alias("r").join(F.broadcast(long).alias("l"), F.expr("r.conv_id <=> l.conv_id")).select("r.*", "l.c")
+    x = cut(mine.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id()))
+    x = x.withColumn("part", F.shiftright("at", 33))
+    of = x.groupBy("conv_id", "part").agg(F.min("at").alias("lo"), F.count("*").alias("k"))
+    so_far = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    of = of.withColumn("ahead", F.sum("k").over(so_far) - F.col("k"))
+    return x.alias("x").join(F.broadcast(of).alias("o"), F.expr("x.conv_id <=> o.conv_id and x.part = o.part")).select(
+        *(f"x.{c}" for c in rows.columns), "x.c", F.expr("o.ahead + x.at - o.lo").alias("rn")
+    )
+
+
+def _segmented(rows: DataFrame, segment: int, history: int) -> DataFrame:
+    """``rows`` with seg and own: 2, or 0 for the system turn and 1 for the history that a later segment repeats."""
+    segment = max(segment, -(-history // 4))  # a turn has 4 tokens at least: history ends within one segment
+    long = cut(rows.groupBy("conv_id").agg(F.count("*").alias("c")).filter(F.col("c") > segment))
+    short = rows.alias("r").join(F.broadcast(long).alias("l"), F.expr("r.conv_id <=> l.conv_id"), "left_anti")
+    short = short.select(*rows.columns, F.lit(0).cast("long").alias("seg"), F.lit(2).alias("own"))
+    x = cut(_numbered(rows, long).withColumn("seg", F.floor(F.col("rn") / segment).cast("long")))
+    first = x.filter("rn = 0 and role = 'system'").drop("seg", "rn", "c")
+    later = x.filter((F.col("rn") > 0) & (F.col("rn") % segment == 0)).select("conv_id", "seg")
+    lead = later.alias("r").join(first.alias("l"), F.expr("r.conv_id <=> l.conv_id")).select("l.*", "r.seg", F.lit(0).alias("own"))
+    back = Window.partitionBy("conv_id", "seg").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = x.filter((F.col("rn") % segment >= segment - -(-history // 4)) & ((F.col("seg") + 1) * segment < F.col("c")))
+    carried = carried.withColumn("tail", F.sum("tokens").over(back)).filter((F.col("tail") <= history) & ~F.expr("rn = 0 and role = 'system'"))
+    carried = carried.select(*rows.columns, (F.col("seg") + 1).alias("seg"), F.lit(1).alias("own"))
+    own = x.select(*rows.columns, "seg", F.lit(2).alias("own"))
+    return short.unionByName(own).unionByName(lead).unionByName(carried)
+
+
 def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, segment: int = 256) -> DataFrame:
     """Windows of every conversation: conv_id, seg, window, formatted, mask, n_context, n_tokens."""
     rows = turns.select(
@@ -88,21 +134,11 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, segmen
         "turn",
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).withColumn("seg", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(2**62))).cast("long"))
-    # The leading system turn of a conversation serves its later segments too. These are
-    # rare, so this side holds system turns of long conversations only; it joins before
-    # the grouping, whose projections are large enough without a join among them.
-    lead = rows.groupBy("conv_id").agg(
-        F.min("seg").alias("first_seg"), F.max("seg").alias("last_seg"), F.min(F.struct("turn", "role", "text")).alias("lead"),
-    ).filter("first_seg < last_seg and lead.role = 'system'")
-    later = rows.select("conv_id", "seg").distinct().alias("r").join(
-        lead.alias("l"), F.col("r.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("seg") > F.col("first_seg"))
-    ).select("r.conv_id", F.col("lead.turn").alias("turn"), F.col("lead.role").alias("role"), F.col("lead.text").alias("text"), "seg", F.lit(0).alias("own"))
-    rows = rows.withColumn("own", F.lit(1)).unionByName(later)
-    tokens = F.regexp_count("text", F.lit(r"\S+")).cast("long") + 4
+    ).withColumn("tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long") + 4)
+    rows = _segmented(rows, int(segment), int(history))
     whole = Window.partitionBy("conv_id", "seg")
     place = whole.orderBy("own", "turn", "role", "text")
-    rows = rows.withColumn("tokens", tokens).withColumns({
+    rows = rows.withColumns({
         "i": F.row_number().over(place) - 1,
         "before": F.sum("tokens").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"),
     })
@@ -110,10 +146,11 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, segmen
     g = rows.groupBy("conv_id", "seg").agg(
         F.sort_array(F.collect_list(F.struct("i", "own", "role", "text", "tokens", "before", "hist"))).alias("turns")
     )
-    g = g.withColumn("lead", F.expr("1 - turns[0].own"))
+    g = g.withColumn("lead", F.expr("size(filter(turns, t -> t.own < 2))"))
     g = g.withColumn("head", F.expr("if(turns[0].role = 'system', 1, 0)"))
     g = g.withColumn("sys_tokens", F.expr("if(head = 1, turns[0].tokens, 0L)"))
-    g = g.withColumn("spans", F.expr(_SPANS.format(budget=int(budget))))
+    g = g.withColumn("first_hist", F.expr(f"if(lead > 0, {_HIST.format(i='lead', budget=int(budget))}, 0)"))
+    g = g.withColumn("spans", F.expr(_SPANS.format(budget=int(budget), hist=_HIST.format(i="i", budget=int(budget)))))
     w = g.select("conv_id", "seg", F.posexplode(F.expr(_WINDOWS)).alias("window", "members"))
     shown = F.transform(
         "members",
