@@ -26,15 +26,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the least node reachable.
 
-    Null ends are dropped, loops and repeated edges do no harm, and no edge gives no row.
+    Rounds go on until nothing changes. Null ends are dropped, loops and repeated edges do no
+    harm, and no edge gives no row.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
     state = None
-    for _ in range(rounds):
+    while True:
         e = cut(_star(_star(e, True), False))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

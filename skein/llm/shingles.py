@@ -45,13 +45,13 @@ def words(data: np.ndarray, begins: np.ndarray, lower: bool = True) -> tuple[np.
 
 
 def chunks(texts):
-    """Lists of (index, bytes) of about ``_CHUNK`` bytes."""
+    """Lists of (index, bytes) of about ``_CHUNK`` bytes, of under 60,000 texts."""
     rows, size = [], 0
     for i, t in enumerate(texts):
         raw = (t.as_py() or "").encode()
         rows.append((i, raw))
         size += len(raw)
-        if size >= _CHUNK:
+        if size >= _CHUNK or len(rows) >= 60_000:
             yield rows
             rows, size = [], 0
     if rows:

@@ -34,14 +34,19 @@ def brute(rows):
         for g in s:
             holders[g].append(i)
     count = Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    linked = defaultdict(set)
     for (a, b), n in count.items():
         if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
             root[find(a)] = find(b)
+            if sets[a] != sets[b]:
+                linked[sets[a]].add(sets[b])
+                linked[sets[b]].add(sets[a])
+    copies = Counter(sets)
     low = {}
     for i, (d, _) in enumerate(rows):
         r = find(i)
         low[r] = min((x for x in (low.get(r), d) if x is not None), default=None)
-    return Counter((d, len(s), low[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+    return Counter((d, len(s), low[find(i)], copies[s] if s else 1, len(linked[s])) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
 def check(spark, path, rows):

@@ -24,7 +24,7 @@ def test_stage_by_stage(spark, tmp_path):
         if name == "quality":
             assert all(before[r["doc_id"]] == r["text"] for r in got) and 0.5 * len(rows) < len(got) < len(rows)
         if name == "near_duplicates":
-            groups = {d: c for d, _, c in components([(r["doc_id"], r["text"]) for r in rows])}
+            groups = {d: c for d, _, c, *_ in components([(r["doc_id"], r["text"]) for r in rows])}
             assert Counter(groups[r["doc_id"]] for r in got) == Counter(set(groups.values()))
         if name == "repeated_passages":
             want = {r["doc_id"]: b for r, b in zip(rows, repeats([r["text"] for r in rows]))}
