@@ -3,38 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.lineage import cut, shared_dir  # noqa: F401
+
 #: Whitespace is exactly these code points; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only a session without the setting (tests, one machine) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive lost executors and the lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
@@ -50,13 +30,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: list[tuple[str, str]] = []
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that only written results were made from (none named: all of this application).
+def written(spark: SparkSession) -> list[str]:
+    """Paths of this application's tables that have not been deleted."""
+    return [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete the named tables (or paths of tables), which only results already written were made from.
 
     Shuffle files of plans that nothing refers to any more go too, once the JVM collects them.
     """
-    mine = [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]
-    for path in [t._skein_path for t in tables] or mine:
+    for path in [t if isinstance(t, str) else t._skein_path for t in tables]:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
@@ -64,6 +48,12 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written ``path`` to its end."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

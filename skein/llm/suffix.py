@@ -15,7 +15,7 @@ a block. Equal windows pick equal grams, so a block whose gram is nowhere else h
 repeat; a block whose whole extent occurs again holds nothing but repeats; only blocks that
 share a gram and differ (one block of each content) are ranked position by position.
 
-Documents are dealt into batches by a hash of doc_id, and a batch sends each distinct pair
+Documents are dealt into batches by a hash of doc_id and text, and a batch sends each distinct pair
 once, with a mark whether it has it twice, so a group of copies costs each batch one pair
 however many copies there are. What is sent are packed arrays for ranges of ranks; the
 answers come back in the same order, a byte each. A batch is some megabytes of text; a
@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skein.llm.common import task_count
 
@@ -277,10 +278,12 @@ def dedup(docs: DataFrame, length: int = 200, batch_bytes: int = 8 << 20, digest
     """
     if length % 4 or length <= GRAM:
         raise ValueError("length must be a multiple of 4 and over 64")
+    if clash := {"kept", "n_bytes", "n_removed", "n_spans", "spans", "sa_batch", "sa_hash"} & set(docs.columns) - ({"n_bytes", "spans"} if digest else set()):
+        raise ValueError(f"columns that dedup adds itself: {sorted(clash)}")
     n = task_count(docs, F.octet_length("text"), batch_bytes, 256)
     bits = max(4, (n - 1).bit_length())
     source = (docs.select("doc_id", "text") if digest else docs).withColumns({
-        "sa_hash": F.xxhash64("text"), "sa_batch": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long"),
+        "sa_hash": F.xxhash64("text"), "sa_batch": F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"),
     })
     names = [c for c in source.columns if c not in ("sa_hash", "sa_batch")]
     placed = source.repartition("sa_batch")
@@ -329,8 +332,8 @@ def dedup(docs: DataFrame, length: int = 200, batch_bytes: int = 8 << 20, digest
     if digest:
         ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        ddl = f"{kinds}, n_bytes long, n_removed long, n_spans long, kept string, spans array<bigint>"
+        made = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept string, spans array<bigint>")
+        ddl = StructType([*docs.schema.fields, *made.fields])
     return by(placed).cogroup(by(heard)).applyInArrow(closing, ddl)
 
 
