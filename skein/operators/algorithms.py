@@ -30,14 +30,15 @@ def sssp(vertices: DataFrame, edges: DataFrame, source: int, directed: bool = Tr
     return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
 
 
-def wcc(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def wcc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of the weakly connected component.
 
-    Alternating large and small stars; the minima are pre-aggregated, so hubs are cheap.
+    Alternating large and small stars until nothing changes; the minima are pre-aggregated,
+    so hubs are cheap.
     """
     e = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     e, state = cut(e), None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

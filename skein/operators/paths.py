@@ -18,11 +18,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
-def hops(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, most: int | None = None, target: int | None = None) -> DataFrame:
     """(id, d): fewest hops from any of ``sources`` (id); d is 0 at a source; unreached absent.
 
     Small bounds are unrolled into one plan; otherwise a level loop that stops when no new
-    node appears or at ``most``.
+    node appears, at ``most``, or at the level that reaches ``target``.
     """
     seen = sources.select(F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("d")).distinct()
     pairs = edges.select("src", "dst").distinct()
@@ -41,30 +41,48 @@ def hops(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataF
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if target is not None and not frontier.filter(F.col("id") == target).isEmpty():
+            break
         if d % 8 == 0:
             seen = cut(seen)
     return seen
 
 
-def relax(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+def relax(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, nearest: int = 1) -> DataFrame:
     """(source, id, dist): least sum of non-negative ``weight`` from each source; unreached absent.
 
-    ``sources`` has (source, id). Null weights are edges that cannot be walked.
+    ``sources`` has (source, id). Null weights are edges that cannot be walked. With
+    ``targets`` (id) only the ``nearest`` pairs of a source and a target (and their ties) need
+    be right: what is farther than these are so far is not walked on, so the loop ends early
+    and other distances may be missing or too long.
     """
     e = edges.filter("weight is not null").groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
+    e = cut(e)
     best = frontier = cut(sources.select("source", "id", F.lit(0.0).alias("dist")).distinct())
-    for k in range(rounds):
+    k = 0
+    while True:
         step = frontier.join(e, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(
             F.min(F.col("dist") + F.col("weight")).alias("dist")
         )
         old = best.withColumnRenamed("dist", "old")
-        frontier = cut(step.join(old, ["source", "id"], "left").filter("old is null or dist < old").select("source", "id", "dist"))
+        better = step.join(old, ["source", "id"], "left").filter("old is null or dist < old").select("source", "id", "dist")
+        if targets is not None:
+            found = best.join(targets.select("id").distinct(), "id", "left_semi").filter("source <> id").orderBy("dist").limit(nearest).select("dist").collect()
+            if len(found) == nearest:
+                better = better.filter(F.col("dist") <= found[-1]["dist"])
+        frontier = cut(better)
         if frontier.isEmpty():
             return best
         best = best.unionByName(frontier).groupBy("source", "id").agg(F.min("dist").alias("dist"))
-        if k % 4 == 3:
+        k += 1
+        if k % 4 == 0:
             best = cut(best)
-    return best
+
+
+def same_component(components: DataFrame, a: int, b: int) -> bool:
+    """Whether two nodes have the same component in (id, component), as ``wcc`` gives it: a pre-check for paths."""
+    found = components.filter(F.col("id").isin(a, b)).select("component").collect()
+    return len(found) == (1 if a == b else 2) and len({r["component"] for r in found}) == 1
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ Tables in braces, parameters with a colon. Every order is total; ids break ties.
 """
 
 QUERIES = {
-    # messages before a day, by year, kind and length class; total counts all of them
+    # messages before a day, by year, kind and length class; total counts all of them, without content too
     "bi_q1": ("""
-        SELECT year, is_comment, cat, count(*) AS messages, CAST(sum(len) AS BIGINT) AS length_sum, max(total) AS total FROM (
-          SELECT year, is_comment, content, len, CASE WHEN len < 40 THEN 0 WHEN len < 80 THEN 1 WHEN len < 160 THEN 2 ELSE 3 END AS cat,
-            count(*) OVER () AS total FROM {message} WHERE day < :day) m
-        WHERE content GROUP BY year, is_comment, cat ORDER BY year DESC, is_comment, cat""", {"day": 9900}),
+        SELECT year, is_comment, cat, messages, length_sum, total FROM (
+          SELECT year, is_comment, content, cat, count(*) AS messages, CAST(sum(len) AS BIGINT) AS length_sum, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM (
+            SELECT year, is_comment, content, len, CASE WHEN len < 40 THEN 0 WHEN len < 80 THEN 1 WHEN len < 160 THEN 2 ELSE 3 END AS cat FROM {message} WHERE day < :day) m
+          GROUP BY year, is_comment, content, cat) g
+        WHERE content ORDER BY year DESC, is_comment, cat""", {"day": 9900}),
     # tags of a class in two windows of 100 days
     "bi_q2": ("""
         SELECT t.name, count(CASE WHEN m.day >= :day AND m.day < :day + 100 THEN 1 END) AS w1,
@@ -26,15 +27,15 @@ QUERIES = {
         FROM {forum} f JOIN {person} p ON p.id = f.moderator JOIN {thread} th ON th.forum = f.id
         WHERE p.country = :country AND th.id IN (SELECT h.message FROM {has_tag} h JOIN {tag} t ON t.id = h.tag JOIN {tagclass} c ON c.id = t.class WHERE c.name = :class)
         GROUP BY f.id, f.title, f.fday, f.moderator ORDER BY messages DESC, f.id LIMIT 20""", {"country": 105, "class": "Brand#13"}),
-    # creators in the forums with the largest share of one country; members without a message stay
+    # creators in the forums with the largest share of one country, and these forums; members without a message stay
     "bi_q4": ("""
         WITH cohort AS (
           SELECT m.forum, p.country, count(*) AS n FROM {member} m JOIN {person} p ON p.id = m.person JOIN {forum} f ON f.id = m.forum WHERE f.fday > :day GROUP BY m.forum, p.country),
         top AS (SELECT forum, max(n) AS n FROM cohort GROUP BY forum ORDER BY n DESC, forum LIMIT :k),
         members AS (SELECT DISTINCT m.person FROM {member} m WHERE m.forum IN (SELECT forum FROM top)),
         wrote AS (SELECT m.creator, count(*) AS n FROM {message} m JOIN {thread} th ON th.id = m.id WHERE th.forum IN (SELECT forum FROM top) GROUP BY m.creator)
-        SELECT members.person, coalesce(wrote.n, 0) AS messages FROM members LEFT JOIN wrote ON wrote.creator = members.person
-        ORDER BY messages DESC, members.person LIMIT 100""", {"day": 8000, "k": 20}),
+        SELECT members.person, coalesce(wrote.n, 0) AS messages, f.forums FROM members CROSS JOIN (SELECT $ids(forum) AS forums FROM top) f LEFT JOIN wrote ON wrote.creator = members.person
+        ORDER BY messages DESC, members.person LIMIT 100""", {"day": 8000, "k": 100}),
     # posters of a tag: messages, replies, likes and their score
     "bi_q5": ("""
         WITH tagged AS (SELECT DISTINCT m.id, m.creator FROM {has_tag} h JOIN {tag} t ON t.id = h.tag JOIN {message} m ON m.id = h.message WHERE t.name = :tag),
@@ -46,10 +47,10 @@ QUERIES = {
     # authority of the creators of a tag: likes that their likers received; creators without likers drop out
     "bi_q6": ("""
         WITH pairs AS (SELECT DISTINCT m.creator AS p1, k.person AS p2 FROM {has_tag} h JOIN {tag} t ON t.id = h.tag JOIN {message} m ON m.id = h.message
-          JOIN {likes} k ON k.message = m.id WHERE t.id BETWEEN :lo AND :hi),
+          JOIN {likes} k ON k.message = m.id WHERE t.name = :tag),
         got AS (SELECT m.creator, count(*) AS n FROM {likes} k JOIN {message} m ON m.id = k.message GROUP BY m.creator)
         SELECT p1 AS person, CAST(sum(coalesce(got.n, 0)) AS BIGINT) AS score FROM pairs LEFT JOIN got ON got.creator = pairs.p2 GROUP BY p1 ORDER BY score DESC, person LIMIT 100""",
-        {"lo": 50, "hi": 80}),
+        {"tag": "tag52"}),
     # tags of comments that reply to a tag and lack it
     "bi_q7": ("""
         WITH target AS (SELECT id FROM {tag} WHERE name = :tag), tagged AS (SELECT message FROM {has_tag} WHERE tag IN (SELECT id FROM target)),
@@ -83,9 +84,9 @@ QUERIES = {
     # how many persons have how many messages, those without any too
     "bi_q12": ("""
         WITH per AS (SELECT m.creator, count(*) AS n FROM {message} m JOIN {thread} th ON th.id = m.id
-          WHERE m.content AND m.len < :len AND m.day > :day AND th.root_lang IN ('en', 'fr') GROUP BY m.creator)
+          WHERE m.content AND m.len < :len AND m.day > :day AND th.root_lang IN (:langs) GROUP BY m.creator)
         SELECT messages, count(*) AS persons FROM (SELECT p.id, coalesce(per.n, 0) AS messages FROM {person} p LEFT JOIN per ON per.creator = p.id) x
-        GROUP BY messages ORDER BY persons DESC, messages DESC""", {"len": 120, "day": 8800}),
+        GROUP BY messages ORDER BY persons DESC, messages DESC""", {"len": 120, "day": 8800, "langs": ("en", "fr")}),
     # persons of a country with less than a message a month, and who likes them
     "bi_q13": ("""
         WITH zombie AS (SELECT p.id FROM {person} p LEFT JOIN (SELECT creator, count(*) AS n FROM {message} WHERE day < :day GROUP BY creator) m ON m.creator = p.id
@@ -97,37 +98,39 @@ QUERIES = {
     # best pair of friends of two countries for each city of the first
     "bi_q14": ("""
         WITH pair AS (SELECT DISTINCT k.src AS p1, k.dst AS p2, a.city FROM {knows} k JOIN {person} a ON a.id = k.src JOIN {person} b ON b.id = k.dst WHERE a.country = :c1 AND b.country = :c2),
-        reply AS (SELECT DISTINCT c.creator AS a, m.creator AS b FROM {comment} c JOIN {message} m ON m.id = c.parent),
-        lik AS (SELECT DISTINCT k.person AS a, m.creator AS b FROM {likes} k JOIN {message} m ON m.id = k.message),
+        who AS (SELECT p1 AS id FROM pair UNION SELECT p2 FROM pair),
+        said AS (SELECT id, creator FROM {message} WHERE creator IN (SELECT id FROM who)),
+        reply AS (SELECT DISTINCT c.creator AS a, m.creator AS b FROM {comment} c JOIN said m ON m.id = c.parent WHERE c.creator IN (SELECT id FROM who)),
+        lik AS (SELECT DISTINCT k.person AS a, m.creator AS b FROM {likes} k JOIN said m ON m.id = k.message WHERE k.person IN (SELECT id FROM who)),
         scored AS (SELECT p.p1, p.p2, p.city, CASE WHEN r1.a IS NULL THEN 0 ELSE 4 END + CASE WHEN r2.a IS NULL THEN 0 ELSE 1 END + CASE WHEN l1.a IS NULL THEN 0 ELSE 10 END + CASE WHEN l2.a IS NULL THEN 0 ELSE 1 END AS score
           FROM pair p LEFT JOIN reply r1 ON r1.a = p.p1 AND r1.b = p.p2 LEFT JOIN reply r2 ON r2.a = p.p2 AND r2.b = p.p1
           LEFT JOIN lik l1 ON l1.a = p.p1 AND l1.b = p.p2 LEFT JOIN lik l2 ON l2.a = p.p2 AND l2.b = p.p1)
         SELECT p1, p2, c.name AS city, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY score DESC, p1, p2) AS rn FROM scored) s JOIN {place} c ON c.id = s.city
         WHERE rn = 1 ORDER BY score DESC, p1, p2 LIMIT 100""", {"c1": 105, "c2": 107}),
     # cheapest path between two persons over friends, cheaper the more they answer each other
-    "bi_q15": ("SELECT coalesce(round(max(dist), 6), -1.0) AS cost FROM {reach} WHERE id = :target", {"source": 17, "target": 400}),
-    # persons who wrote on two tags on two days with few friends who did so too
+    "bi_q15": ("SELECT coalesce(round(max(dist), 6), -1.0) AS cost FROM {reach} WHERE id = :target", {"source": 17, "target": 400, "lo": 7800, "hi": 8400}),
+    # persons who wrote on a tag on a day, with few friends who did so too, for both of two tags and days
     "bi_q16": ("""
-        WITH wrote AS (SELECT m.creator, m.day, h.tag, count(DISTINCT m.id) AS n FROM {message} m JOIN {has_tag} h ON h.message = m.id WHERE m.day BETWEEN :lo AND :hi AND h.tag BETWEEN :t1 AND :t4 GROUP BY m.creator, m.day, h.tag),
-        a AS (SELECT creator, CAST(sum(n) AS BIGINT) AS n FROM wrote WHERE tag BETWEEN :t1 AND :t2 GROUP BY creator), b AS (SELECT creator, CAST(sum(n) AS BIGINT) AS n FROM wrote WHERE tag BETWEEN :t3 AND :t4 GROUP BY creator),
+        WITH a AS (SELECT m.creator, count(*) AS n FROM {message} m JOIN {has_tag} h ON h.message = m.id JOIN {tag} t ON t.id = h.tag WHERE t.name = :tag_a AND m.day = :day_a GROUP BY m.creator),
+        b AS (SELECT m.creator, count(*) AS n FROM {message} m JOIN {has_tag} h ON h.message = m.id JOIN {tag} t ON t.id = h.tag WHERE t.name = :tag_b AND m.day = :day_b GROUP BY m.creator),
         fa AS (SELECT k.src, count(*) AS n FROM {knows} k JOIN a ON a.creator = k.dst WHERE k.src IN (SELECT creator FROM a) GROUP BY k.src),
         fb AS (SELECT k.src, count(*) AS n FROM {knows} k JOIN b ON b.creator = k.dst WHERE k.src IN (SELECT creator FROM b) GROUP BY k.src)
         SELECT a.creator AS person, a.n AS on_a, b.n AS on_b FROM a JOIN b ON b.creator = a.creator LEFT JOIN fa ON fa.src = a.creator LEFT JOIN fb ON fb.src = b.creator
-        WHERE coalesce(fa.n, 0) <= :most AND coalesce(fb.n, 0) <= :most ORDER BY a.n + b.n DESC, person LIMIT 20""", {"lo": 8000, "hi": 10500, "t1": 1, "t2": 60, "t3": 61, "t4": 140, "most": 6}),
+        WHERE coalesce(fa.n, 0) <= :most AND coalesce(fb.n, 0) <= :most ORDER BY a.n + b.n DESC, person LIMIT 20""", {"tag_a": "tag17", "day_a": 10009, "tag_b": "tag18", "day_b": 10009, "most": 4}),
     # who spreads a tag from one forum to another
     "bi_q17": ("""
-        WITH msg AS (SELECT m.id, m.creator, m.ms, m.parent, m.is_comment, th.forum FROM {message} m JOIN {thread} th ON th.id = m.id JOIN (SELECT DISTINCT message FROM {has_tag} WHERE tag BETWEEN :lo AND :hi) h ON h.message = m.id),
+        WITH msg AS (SELECT m.id, m.creator, m.ms, m.parent, m.is_comment, th.forum FROM {message} m JOIN {thread} th ON th.id = m.id JOIN (SELECT DISTINCT x.message FROM {has_tag} x JOIN {tag} t ON t.id = x.tag WHERE t.name = :tag) h ON h.message = m.id),
         link AS (SELECT c.creator AS p2, m2.creator AS p3, m2.id AS msg2, m2.ms AS ms2, m2.forum AS f2 FROM msg c JOIN msg m2 ON m2.id = c.parent WHERE c.is_comment AND c.creator <> m2.creator),
         seen AS (SELECT DISTINCT a.forum, l.msg2, l.ms2, l.f2 FROM link l JOIN {member} a ON a.person = l.p2 JOIN {member} b ON b.forum = a.forum AND b.person = l.p3 WHERE a.forum <> l.f2),
         hit AS (SELECT DISTINCT m1.creator AS p1, l.msg2, l.f2 FROM seen l JOIN msg m1 ON m1.forum = l.forum WHERE l.ms2 > m1.ms + :delta * 3600000)
         SELECT hit.p1 AS person, count(DISTINCT hit.msg2) AS messages FROM hit WHERE NOT EXISTS (SELECT 1 FROM {member} x WHERE x.forum = hit.f2 AND x.person = hit.p1)
-        GROUP BY hit.p1 ORDER BY messages DESC, person LIMIT 10""", {"lo": 1, "hi": 120, "delta": 1}),
+        GROUP BY hit.p1 ORDER BY messages DESC, person LIMIT 10""", {"tag": "tag52", "delta": 1}),
     # strangers with a common interest and many common friends
     "bi_q18": ("""
-        WITH fan AS (SELECT DISTINCT person FROM {interest} WHERE tag BETWEEN :lo AND :hi)
+        WITH fan AS (SELECT DISTINCT i.person FROM {interest} i JOIN {tag} t ON t.id = i.tag WHERE t.name = :tag)
         SELECT x.src AS person1, y.dst AS person2, count(DISTINCT x.dst) AS mutual FROM {knows} x JOIN {knows} y ON y.src = x.dst AND y.dst <> x.src
         WHERE x.src IN (SELECT person FROM fan) AND y.dst IN (SELECT person FROM fan) AND NOT EXISTS (SELECT 1 FROM {knows} z WHERE z.src = x.src AND z.dst = y.dst)
-        GROUP BY x.src, y.dst ORDER BY mutual DESC, person1, person2 LIMIT 20""", {"lo": 1, "hi": 12}),
+        GROUP BY x.src, y.dst ORDER BY mutual DESC, person1, person2 LIMIT 20""", {"tag": "tag50"}),
     # cheapest ways from one city to another
     "bi_q19": ("""
         SELECT source AS person1, r.id AS person2, round(dist, 6) AS cost FROM {reach} r JOIN {person} p ON p.id = r.id WHERE p.city = :city2
@@ -135,7 +138,7 @@ QUERIES = {
     # employees of a company by their distance from a person over study friends
     "bi_q20": ("""
         SELECT r.id AS person, round(r.dist, 6) AS cost FROM {reach} r JOIN {work_at} w ON w.person = r.id WHERE w.org = :org AND r.id <> :person
-        ORDER BY cost, person LIMIT 20""", {"org": 506, "person": 17}),
+        ORDER BY cost, person LIMIT 20""", {"org": 512, "person": 29}),
     "bi1_cotags": ("""
         SELECT count(*) AS pairs FROM (SELECT DISTINCT a.tag AS x, b.tag AS y FROM {has_tag} a JOIN {has_tag} b ON b.message = a.message AND b.tag > a.tag) p""", {}),
     "bi3_tags_used": ("SELECT count(DISTINCT tag) AS tags FROM {has_tag}", {}),
@@ -144,13 +147,13 @@ QUERIES = {
     "bi_reachability": ("SELECT count(*) AS persons, CAST(max(d) AS BIGINT) AS eccentricity FROM {near}", {"person": 1}),
 }
 
-#: Weighted relations of the path queries (src, dst, weight), over tables in braces.
+#: Weighted relations of the path queries (src, dst, weight), over tables in braces, with the same parameters.
 WEIGHTS = {
     "bi_q15": ("""
         SELECT k.src, k.dst, 1.0 / (1.0 + coalesce(w.w, 0.0)) AS weight FROM (SELECT DISTINCT src, dst FROM {knows}) k LEFT JOIN (
           SELECT a, b, CAST(sum(v) AS DOUBLE) AS w FROM (
             SELECT least(c.creator, m.creator) AS a, greatest(c.creator, m.creator) AS b, CASE WHEN m.is_comment THEN 0.5 ELSE 1.0 END AS v
-            FROM {comment} c JOIN {message} m ON m.id = c.parent JOIN {thread} th ON th.id = c.id JOIN {forum} f ON f.id = th.forum WHERE f.fday BETWEEN 7800 AND 8400) x GROUP BY a, b
+            FROM {comment} c JOIN {message} m ON m.id = c.parent JOIN {thread} th ON th.id = c.id JOIN {forum} f ON f.id = th.forum WHERE f.fday BETWEEN :lo AND :hi) x GROUP BY a, b
         ) w ON w.a = least(k.src, k.dst) AND w.b = greatest(k.src, k.dst)"""),
     "bi_q19": ("""
         SELECT k.src, k.dst, 1.0 / w.n AS weight FROM (SELECT DISTINCT src, dst FROM {knows}) k JOIN (

@@ -8,6 +8,9 @@ global sort is needed. Ties at a cut go by neighbour id. ``limit`` is at most 99
 
 from __future__ import annotations
 
+#: Edges that a trace may follow from a node: a claim's place is its predecessor's times a hundred thousand, plus its rank.
+MOST = 99_999
+
 
 def claims(start: str, edges: str, levels: int, key: str, order: str, early: str = "TRUE", late: str = "TRUE", carry: str = "e.ts") -> str:
     """CTEs l0..l{levels} of (root, node, ord, carry).
@@ -56,7 +59,7 @@ _TRACE5 = _paths(4, "SELECT dst AS root, dst AS node, concat('-', dst, '-') AS p
 
 
 def _cut(name: str, sql: str) -> str:
-    return f"{name} AS (SELECT * FROM (SELECT x.*, row_number() OVER (ORDER BY ts, other, amt) AS rk FROM ({sql}) x) y WHERE rk <= :limit)"
+    return f"{name} AS (SELECT * FROM ({sql}) x ORDER BY ts, other, amt LIMIT :limit)"
 
 
 QUERIES = {
@@ -75,7 +78,7 @@ QUERIES = {
     # cycles of rising time in a window; parallel edges repeat them
     "cr4": (f"""
         WITH {_CYCLE} SELECT cycle, n - 1 AS accounts FROM ({' UNION ALL '.join(f'SELECT cycle, closed, n FROM p{k}' for k in range(2, 7))}) x WHERE closed ORDER BY accounts, cycle LIMIT 1000""",
-        {"account": 76, "min": 20.0, "window": 14_400_000}),
+        {"account": 76, "min": 20.0, "window": 604_800_000}),
     # traces of rising time from owned accounts, parallel edges as one
     "cr5": (f"""
         WITH {_TRACE5} SELECT DISTINCT path, hops FROM (SELECT path, CAST(1 AS BIGINT) AS hops FROM p2 UNION ALL SELECT path, CAST(2 AS BIGINT) FROM p3 UNION ALL SELECT path, CAST(3 AS BIGINT) FROM p4) x
@@ -92,7 +95,7 @@ QUERIES = {
     # where a loan's money goes, up to two transfers or withdrawals after its deposits
     "cr8": (f"""
         WITH up AS (SELECT dst, sum(amt) AS total FROM {{transfer}} WHERE {_WINDOW} GROUP BY dst),
-        dep AS (SELECT row_number() OVER (ORDER BY ts, dst, amt) AS root, dst AS node, amt AS carry FROM {{deposit}} WHERE src = :loan AND {_WINDOW}),
+        dep AS (SELECT concat(dst, '-', row_number() OVER (PARTITION BY dst ORDER BY ts, amt)) AS root, dst AS node, amt AS carry FROM {{deposit}} WHERE src = :loan AND {_WINDOW}),
         {claims("SELECT root, node, carry FROM dep", "SELECT t.src AS node, t.dst AS nbr, t.ts, t.amt, coalesce(up.total, 0) AS total FROM (SELECT * FROM {transfer} UNION ALL SELECT * FROM {withdraw}) t LEFT JOIN up ON up.dst = t.src WHERE t.ts BETWEEN :lo AND :hi", 2, "e.amt", "DESC", carry="CASE WHEN e.amt > :t * e.total THEN e.amt END", late="f.carry IS NOT NULL")},
         seen AS ({_levels(2)})
         SELECT node AS account, round(sum(carry) / max(l.amount), 3) AS ratio, min(d) + 1 AS distance FROM seen CROSS JOIN {{loan}} l WHERE l.id = :loan GROUP BY node ORDER BY distance DESC, ratio DESC, account""",
@@ -108,9 +111,9 @@ QUERIES = {
         WHERE i.src <> :person GROUP BY i.src ORDER BY shared DESC, investor""", {"person": 9016, **_ALL}),
     "cr11": ("SELECT coalesce(CAST(sum(a.amt) AS DOUBLE), 0.0) AS total FROM {apply} a WHERE a.src IN (SELECT id FROM {near})", {"person": 9003}),
     "cr12": (f"""
-        WITH mine AS (SELECT dst FROM (SELECT dst, row_number() OVER (ORDER BY dst) AS rk FROM {{own}} WHERE src = :person) x WHERE rk <= :limit),
+        WITH mine AS (SELECT dst FROM {{own}} WHERE src = :person ORDER BY dst LIMIT :limit),
         t AS (SELECT t.src, t.dst, t.amt, row_number() OVER (PARTITION BY t.src ORDER BY t.amt DESC, t.dst, t.ts) AS rk FROM {{transfer}} t WHERE t.src IN (SELECT dst FROM mine) AND t.{_WINDOW})
-        SELECT t.dst AS account, round(sum(t.amt), 6) AS total FROM t WHERE rk <= :limit AND t.dst IN (SELECT dst FROM {{own}} WHERE src >= 8000 AND src < 9000) GROUP BY t.dst ORDER BY total DESC, account""",
+        SELECT t.dst AS account, round(sum(t.amt), 6) AS total FROM t WHERE rk <= :limit AND t.dst IN (SELECT o.dst FROM {{own}} o JOIN {{company}} c ON c.id = o.src) GROUP BY t.dst ORDER BY total DESC, account""",
         {"person": 9016, "limit": 100, **_ALL}),
     "trace_transfers_in": ("SELECT id AS account, d FROM {near} ORDER BY d, account", {"account": 76, "hops": 2, "lo": 1705000000000, "hi": 1705400000000}),
 }

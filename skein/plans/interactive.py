@@ -20,7 +20,7 @@ QUERIES = {
         WHERE n.d BETWEEN 1 AND 2 AND mb.hd > :day GROUP BY f.id, f.title ORDER BY posts DESC, f.id LIMIT 20""", {"person": 17, "day": 7800, "hops": 2}),
     "ic6": ("""
         SELECT o.name, count(DISTINCT m.id) AS posts FROM {near} n JOIN {post} m ON m.creator = n.id JOIN {has_tag} h ON h.message = m.id JOIN {tag} t ON t.id = h.tag JOIN {has_tag} g ON g.message = m.id AND g.tag <> h.tag JOIN {tag} o ON o.id = g.tag
-        WHERE n.d BETWEEN 1 AND 2 AND t.id BETWEEN :lo AND :hi GROUP BY o.name ORDER BY posts DESC, o.name LIMIT 10""", {"person": 17, "lo": 1, "hi": 900, "hops": 2}),
+        WHERE n.d BETWEEN 1 AND 2 AND t.name = :tag GROUP BY o.name ORDER BY posts DESC, o.name LIMIT 10""", {"person": 17, "tag": "tag52", "hops": 2}),
     "ic7": (f"""
         SELECT person, message, ld, NOT coalesce(person IN ({_FRIEND}), FALSE) AS is_new FROM (
           SELECT k.person, k.message, k.ld, row_number() OVER (PARTITION BY k.person ORDER BY k.ld DESC, k.message) AS rn FROM {{likes}} k JOIN {{message}} m ON m.id = k.message WHERE m.creator = :person) x
@@ -34,7 +34,7 @@ QUERIES = {
         SELECT c.id AS person, coalesce(s.s, 0) AS score FROM cand c LEFT JOIN s ON s.creator = c.id ORDER BY score DESC, person LIMIT 10""", {"person": 17, "month": 5, "hops": 2}),
     "ic11": ("""
         SELECT n.id AS person, o.name AS company, w.wf FROM {near} n JOIN {work_at} w ON w.person = n.id JOIN {org} o ON o.id = w.org LEFT JOIN {place} pl ON pl.id = o.place
-        WHERE n.d BETWEEN 1 AND 2 AND w.wf < :year AND o.label = 'Company' AND (o.place = :country OR pl.part_of = :country) ORDER BY w.wf, n.id, o.name DESC LIMIT 10""", {"person": 17, "country": 104, "year": 2012, "hops": 2}),
+        WHERE n.d BETWEEN 1 AND 2 AND w.wf < :year AND o.label = 'Company' AND (o.place = :country OR pl.part_of = :country) ORDER BY w.wf, n.id, o.name DESC LIMIT 10""", {"person": 17, "country": 110, "year": 2012, "hops": 2}),
     "ic12": (f"""
         SELECT c.creator AS person, count(DISTINCT c.id) AS replies, $names(t.name) AS tags
         FROM {{comment}} c JOIN {{post}} p ON p.id = c.parent JOIN {{has_tag}} h ON h.message = p.id JOIN {{tag}} t ON t.id = h.tag JOIN {{under}} u ON u.id = t.class
@@ -46,7 +46,7 @@ QUERIES = {
     "is3": ("SELECT DISTINCT dst AS person FROM {knows} WHERE src = :person ORDER BY person", {"person": 17}),
     "is4": ("SELECT ms, content FROM {message} WHERE id = :message", {"message": 100}),
     "is5": ("SELECT creator AS person FROM {message} WHERE id = :message", {"message": 100}),
-    "is6": ("SELECT f.id AS forum, f.title, f.moderator FROM {thread} th JOIN {forum} f ON f.id = th.forum WHERE th.id = :message", {"message": 101}),
+    "is6": ("SELECT f.id AS forum, f.title, f.moderator FROM {thread} th JOIN {forum} f ON f.id = th.forum WHERE th.id = :message", {"message": 103}),
     "is7": ("""
         SELECT c.id AS message, c.ms, c.creator AS person, c.creator <> m.creator AND k.src IS NOT NULL AS knows FROM {comment} c JOIN {message} m ON m.id = c.parent
         LEFT JOIN (SELECT DISTINCT src, dst FROM {knows}) k ON k.src = m.creator AND k.dst = c.creator WHERE m.id = :message ORDER BY c.ms DESC, c.creator, c.id""", {"message": 100}),

@@ -23,16 +23,19 @@ FAMILIES = {"social": views.SOCIAL, "finance": views.FINANCE, "publishing": view
 
 
 def bind(sql: str, params: dict) -> str:
-    """Put literals in the place of ``:name``."""
-    def literal(m):
-        v = params[m[1]]
+    """Put literals in the place of ``:name``; a tuple or list becomes literals with commas."""
+    def literal(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, (list, tuple)):
+            return ", ".join(map(literal, v))
         if isinstance(v, bool):
             return "TRUE" if v else "FALSE"
         if isinstance(v, float):
             return f"CAST({v!r} AS DOUBLE)"
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
-    return re.sub(r"(?<![:\w]):([a-z_]\w*)", literal, sql)
+    return re.sub(r"(?<![:\w]):([a-z_]\w*)", lambda m: literal(params[m[1]]), sql)
 
 
 def family(name: str) -> str:
@@ -58,19 +61,22 @@ def near(g: PropertyGraph, name: str, p: dict) -> DataFrame:
         e = g["transfer"].filter(F.col("ts").between(p["lo"], p["hi"]))
         if name == "trace_transfers_in":
             e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        return paths.hops(e, one(p["account"]), p.get("hops"))
+        return paths.hops(e, one(p["account"]), p.get("hops"), p.get("target"))
     if name == "cr11":
         return paths.hops(g["guarantee"], one(p["person"]))
-    return paths.hops(g["knows"], one(p["person"]), p.get("hops", p.get("max")))
+    return paths.hops(g["knows"], one(p["person"]), p.get("hops", p.get("max")), p.get("target"))
 
 
 def reach(g: PropertyGraph, name: str, p: dict) -> DataFrame:
+    """Distances; only the targets that the query can return need be right."""
+    one = lambda v, schema: g.spark.createDataFrame([(v,) * (schema.count(",") + 1)], schema)
     if name == "bi_q19":
-        start = g["person"].filter(F.col("city") == p["city1"]).select(F.col("id").alias("source"), "id")
+        city = lambda c: g["person"].filter(F.col("city") == p[c])
+        start, end, nearest = city("city1").select(F.col("id").alias("source"), "id"), city("city2"), 20
     else:
-        at = p.get("source", p.get("person"))
-        start = g.spark.createDataFrame([(at, at)], "source long, id long")
-    return paths.relax(g.sql(bi.WEIGHTS[name]), start)
+        start = one(p.get("source", p.get("person")), "source long, id long")
+        end, nearest = (one(p["target"], "id long"), 1) if "target" in p else (g["work_at"].filter(F.col("org") == p["org"]).select(F.col("person").alias("id")), 20)
+    return paths.relax(g.sql(bind(bi.WEIGHTS[name], p)), start, end, nearest)
 
 
 def under(g: PropertyGraph, name: str, p: dict) -> DataFrame:
@@ -92,6 +98,8 @@ def run(name: str, g: PropertyGraph, **params) -> DataFrame:
     """Run a query of any family over a graph with that family's tables."""
     sql, defaults = text(name)
     p = {**defaults, **params}
+    if family(name) == "finance" and p.get("limit", 0) > finance.MOST:
+        raise ValueError(f"limit is {finance.MOST} at most")
     needed = set(views.names(sql)) | (set(views.names(bi.WEIGHTS[name])) if name in bi.WEIGHTS else set())
     if "thread" in needed and "thread" not in g:
         g = with_roots(g)
@@ -141,13 +149,12 @@ def _reach_sql(name: str, p: dict) -> str:
         f"SELECT id AS source, id, CAST(0 AS DOUBLE) AS dist FROM {{person}} WHERE city = {p['city1']}" if name == "bi_q19"
         else f"SELECT CAST({at} AS BIGINT) AS source, CAST({at} AS BIGINT) AS id, CAST(0 AS DOUBLE) AS dist"
     )
-    return f"reach_w AS MATERIALIZED ({bi.WEIGHTS[name]}), " + _relaxed(start)
+    return f"reach_w AS MATERIALIZED ({bind(bi.WEIGHTS[name], p)}), " + _relaxed(start)
 
 
 def _hits_sql(name: str, p: dict) -> str:
     words = ", ".join(f"'{w}'" for w in p["words"].split())
-    tests = " OR ".join(f"list_has_all(regexp_split_to_array(lower(coalesce({f}, '')), '[^\\p{{L}}\\p{{N}}]+'), [{words}])" for f in p["fields"].split(","))
-    return f"hits AS (SELECT id FROM {{work}} WHERE {tests})"
+    return f"hits AS (SELECT doc_id AS id FROM documents WHERE list_has_all(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), [{words}]))"
 
 
 _THREAD = (
@@ -257,7 +264,7 @@ ALGORITHM_SQL = {
         "SELECT k.id, coalesce(v.label, k.label) AS label FROM @ k LEFT JOIN (SELECT id, label FROM (SELECT u.dst AS id, l.label, row_number() OVER (PARTITION BY u.dst ORDER BY count(*) DESC, l.label) AS rn"
         " FROM u JOIN @ l ON l.id = u.src GROUP BY u.dst, l.label) y WHERE rn = 1) v ON v.id = k.id", 5)
     + " SELECT id, label FROM k5",
-    "ga_lcc": "WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {transfer} WHERE amt > 60), u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),"
+    "ga_lcc": "WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {transfer}), u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),"
     " k AS (SELECT a, count(*) AS k FROM u GROUP BY a), t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON y.a = x.a JOIN e ON e.src = x.b AND e.dst = y.b GROUP BY x.a)"
     " SELECT a.id, round(CASE WHEN k.k > 1 THEN coalesce(t.t, 0) / (k.k * (k.k - 1)) ELSE 0.0 END, 6) AS lcc FROM {account} a LEFT JOIN k ON k.a = a.id LEFT JOIN t ON t.a = a.id",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ def rows(spark: SparkSession, path: str, columns: list[str], missing_ok: bool =
 
     A column that the header lacks is an error that names it; a missing folder gives no rows
     with ``missing_ok``, else Spark's error. Short rows read as nulls. Gzip files can't be
-    split, so they are dealt out again after reading.
+    split, so rows read from fewer files than there are cores are dealt out again.
     """
     try:
         df = spark.read.option("sep", "|").option("header", True).option("mode", "PERMISSIVE").csv(path)
@@ -27,7 +27,46 @@ def rows(spark: SparkSession, path: str, columns: list[str], missing_ok: bool =
     lacking = [c for c in columns if c not in df.columns]
     if lacking:
         raise ValueError(f"{path}: no column {', '.join(lacking)}; it has {', '.join(df.columns)}")
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    out = df.select(*[F.col(f"`{c}`") for c in columns])
+    files = df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if len(files) < cores and any(f.endswith(".gz") for f in files) else out
+
+
+def load_nodes(spark: SparkSession, path: str, key: str, properties: dict[str, str], where: dict[str, str] | None = None) -> DataFrame:
+    """A node table (id and typed properties) from ``|``-separated files: bulk load of one label.
+
+    ``properties``: column and Spark type; what doesn't parse is null, and so is the empty
+    string. ``where``: only rows with these values. Rows without a key drop out, of equal
+    keys one stays.
+    """
+    where = where or {}
+    df = rows(spark, path, list(dict.fromkeys([key, *properties, *where])))
+    for c, v in where.items():
+        df = df.filter(F.col(f"`{c}`") == v)
+    cols = [F.nullif(F.col(f"`{c}`"), F.lit("")).try_cast(t).alias(c) for c, t in properties.items() if c != key]
+    return df.select(_long(f"`{key}`").alias("id"), *cols).filter("id is not null").dropDuplicates(["id"])
+
+
+def load_relationships(spark: SparkSession, path: str, ends: tuple[str, str], properties: dict[str, str] | None = None, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """A relationship table (src, dst and typed properties) from ``|``-separated files.
+
+    The ends are looked up by key in the given node tables (id), and rows whose end is not
+    there drop out; a foreign key column of a node file serves as an end too.
+    """
+    properties = properties or {}
+    df = rows(spark, path, list(dict.fromkeys([*ends, *properties])))
+    cols = [F.nullif(F.col(f"`{c}`"), F.lit("")).try_cast(t).alias(c) for c, t in properties.items()]
+    e = df.select(_long(f"`{ends[0]}`").alias("src"), _long(f"`{ends[1]}`").alias("dst"), *cols).filter("src is not null and dst is not null")
+    for end, nodes in (("src", sources), ("dst", targets)):
+        if nodes is not None:
+            e = e.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return e.select("src", "dst", *properties)
+
+
+def load_relationships_multi(spark: SparkSession, path: str, ends: dict[str, tuple[str, str]], **tables: DataFrame) -> dict[str, DataFrame]:
+    """Several relationship types of one file: type to the columns of its ends."""
+    return {name: load_relationships(spark, path, pair, **tables) for name, pair in ends.items()}
 
 
 def epoch_ms(c):
@@ -143,7 +182,8 @@ def load_graphalytics(spark: SparkSession, prefix: str) -> tuple[DataFrame, Data
         ".pr.damping-factor": ("damping", float), ".pr.num-iterations": ("pr_iterations", int), ".cdlp.max-iterations": ("cdlp_iterations", int),
     }
     try:
-        lines = [r["value"] for r in spark.read.text(f"{prefix}.properties").limit(1000).collect()]
+        wanted = spark.read.text(f"{prefix}.properties").filter(F.split("value", "=")[0].rlike("|".join(rf"{re.escape(k)}\s*$" for k in keys)))
+        lines = [r["value"] for r in wanted.collect()]  # a line for each of six keys
     except Exception as err:
         if "PATH_NOT_FOUND" not in str(err):
             raise
@@ -166,6 +206,9 @@ def reference_output(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Rows of a small result as one JSON array of arrays, in their order."""
-    with open(path, "w") as f:
-        json.dump([list(r) for r in df.collect()], f, ensure_ascii=False, default=str)
+    """Rows as JSON arrays, one a line, written by the executors into a folder in the order of ``df``."""
+    parts = []
+    for c in df.columns:
+        j = F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"})
+        parts.append(F.substr(j, F.lit(6), F.length(j) - 6))
+    df.select(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).alias("value")).write.mode("overwrite").text(path)

@@ -106,3 +106,54 @@ def load_rdf(spark: SparkSession, path: str) -> PropertyGraph:
     )
     ids = data.select(F.col("subject").alias("id")).union(links.select("object")).distinct()
     return PropertyGraph(spark, {"resource": ids.select("id", F.substring("id", 3, 10**6).alias("uri")), "label": label, "rel": rel, "property": prop})
+
+
+#: Classes of works that the queries tell apart.
+_WORKS = ("BlogPost", "NewsItem", "Programme")
+
+
+def publishing(g: PropertyGraph) -> PropertyGraph:
+    """The tables of the publishing queries (work, entity, kind, about, mentions, tagged, content_of), out of ``load_rdf``.
+
+    Works are the resources labelled CreativeWork or one of its kinds; an entity is what a
+    work is about or mentions. Ids are those of the resources (``I:`` or ``B:`` and the
+    name). A category, audience, format or thumbnail is the uri it links to or its literal,
+    the least one where a work has several; ``tagged`` is about and mentions together with
+    any ``tag`` that is neither.
+    """
+    resource, label, rel, prop = (g[t] for t in ("resource", "label", "rel", "property"))
+
+    def text(key: str) -> DataFrame:
+        return prop.filter(F.col("key") == key).select("id", F.col("text").alias(key))
+
+    def target(kind: str) -> DataFrame:
+        linked = rel.filter(F.col("type") == kind).select(F.col("src").alias("id"), F.substring("dst", 3, 10**6).alias(kind))
+        return linked.unionByName(text(kind).filter(F.col(kind).isNotNull())).groupBy("id").agg(F.min(kind).alias(kind))
+
+    def links(*kinds: str) -> DataFrame:
+        return rel.filter(F.col("type").isin(*kinds)).select(F.col("src").alias("work"), F.col("dst").alias("entity")).distinct().join(works.select(F.col("id").alias("work")), "work", "left_semi")
+
+    kind = F.min(F.when(F.col("label").isin(*_WORKS), F.col("label"))).alias("type")
+    works = label.filter(F.col("label").isin("CreativeWork", *_WORKS)).groupBy("id").agg(kind)
+    live = prop.filter(F.col("key") == "liveCoverage").select("id", F.coalesce("truth", F.col("text") == "true").alias("live"))
+    work = works.join(resource, "id")
+    for t in [*(text(k) for k in ("title", "description", "dateCreated", "dateModified")), *(target(k) for k in ("category", "audience", "primaryFormat", "thumbnail")), live]:
+        work = work.join(t, "id", "left")
+    work = work.select(
+        "id", "uri", "title", "description", "type", "category", "audience", "live", F.col("primaryFormat").alias("format"), "thumbnail",
+        F.col("dateCreated").alias("created"), F.col("dateModified").alias("modified"),
+    )
+    about, mentions = links("about"), links("mentions")
+    tagged = links("about", "mentions", "tag")
+    number = lambda key, name: prop.filter(F.col("key") == key).select("id", F.coalesce("number", F.col("text").try_cast("double")).alias(name))
+    entity = tagged.select(F.col("entity").alias("id")).distinct().join(resource, "id")
+    for t in (text("label"), text("name"), number("lat", "lat"), number("long", "lon")):
+        entity = entity.join(t, "id", "left")
+    docs = rel.filter("type = 'primaryContentOf'").select(F.col("src").alias("work"), F.col("dst").alias("at"))
+    web = target("webDocumentType").select(F.col("id").alias("at"), F.col("webDocumentType").alias("web_type"))
+    content = docs.join(web, "at", "left").select("work", F.substring("at", 3, 10**6).alias("doc"), "web_type")
+    return PropertyGraph(g.spark, {
+        "work": work, "entity": entity.select("id", "uri", F.coalesce("label", "name").alias("label"), "lat", "lon"),
+        "kind": label.select(F.col("id").alias("entity"), F.col("label").alias("kind")).join(entity.select(F.col("id").alias("entity")), "entity", "left_semi"),
+        "about": about, "mentions": mentions, "tagged": tagged, "content_of": content,
+    })

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from skein.operators import algorithms as a
-from skein.operators.paths import closure, hops, relax, roots
+from skein.operators.paths import closure, hops, relax, roots, same_component
 
 
 def graph(spark, n, edges):
@@ -15,27 +15,56 @@ def values(df):
 
 
 def test_bfs_sssp_wcc(spark):
-    v, e = graph(spark, 4, [(0, 1, 2.0), (1, 2, 3.0), (0, 2, 10.0)])
-    assert values(a.bfs(*graph(spark, 4, [(0, 1, 1.0), (1, 2, 1.0)]), 0)) == [0, 1, 2, 9223372036854775807]
-    assert values(a.sssp(v, e, 0)) == [0.0, 2.0, 5.0, float("inf")]
-    assert values(a.wcc(*graph(spark, 5, [(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0)]))) == [0, 0, 0, 3, 3]
+    """A square with a tail and a short cut, and a node alone: 3 -> 1 -> 4 -> 0, 3 -> 5 -> 4, 0 -> 6; 2."""
+    v, e = graph(spark, 7, [(3, 1, 1.5), (1, 4, 6.0), (4, 0, 0.25), (3, 5, 2.0), (5, 4, 3.0), (0, 6, 1.0)])
+    far = 9223372036854775807
+    assert values(a.bfs(v, e, 3)) == [3, 1, far, 0, 2, 1, 4]
+    assert values(a.bfs(v, e, 6, directed=False)) == [1, 3, far, 4, 2, 3, 0]
+    assert values(a.sssp(v, e, 3)) == [5.25, 1.5, float("inf"), 0.0, 5.0, 2.0, 6.25]
+    assert values(a.wcc(v, e)) == [0, 0, 2, 0, 0, 0, 0]
+    n = 300
+    line = [(i + 1, i, 1.0) for i in range(1, n - 1)]
+    assert values(a.wcc(*graph(spark, n, line))) == [0] + [1] * (n - 1)
 
 
 def test_pagerank(spark):
-    v, e = graph(spark, 3, [(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0)])
-    assert values(a.pagerank(v, e, iterations=5)) == pytest.approx([1 / 3] * 3)
-    assert values(a.pagerank(*graph(spark, 2, [(0, 1, 1.0)]), iterations=1)) == pytest.approx([0.2875, 0.7125])
+    """Two rings share vertex 0; against the recurrence written out."""
+    edges = [(0, 1), (1, 2), (2, 0), (0, 3), (3, 4), (4, 0), (0, 3)]
+    want, n = [1 / 6] * 6, 6  # vertex 5 has no edges: it gives its rank to all
+    for _ in range(4):
+        pull = [0.0] * n
+        for x, y in edges:
+            pull[y] += want[x] / sum(s == x for s, _ in edges)
+        want = [0.1 / n + 0.9 * (p + want[5] / n) for p in pull]
+    v, e = graph(spark, n, [(x, y, 1.0) for x, y in edges])
+    assert values(a.pagerank(v, e, damping=0.9, iterations=4)) == pytest.approx(want)
 
 
 def test_cdlp_lcc(spark):
-    v, e = graph(spark, 3, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0)])
-    assert values(a.cdlp(v, e, iterations=2)) == [0, 0, 0]
-    seeds = spark.createDataFrame([(0, 10), (1, 20), (2, 30)], "id long, label long")
-    assert values(a.cdlp(v, e, iterations=2, seeds=seeds)) == [10, 10, 10]
-    v, e = graph(spark, 4, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (0, 3, 1.0)])
-    assert values(a.lcc(v, e, directed=False)) == pytest.approx([1 / 3, 1, 1, 0])
-    v, e = graph(spark, 5, [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0)])
-    assert values(a.lcc(v, e))[0] == pytest.approx(0.5)
+    """Two cliques of four with a bridge."""
+    clique = lambda k: [(i, j, 1.0) for i in range(k, k + 4) for j in range(i + 1, k + 4)]
+    v, e = graph(spark, 9, clique(0) + clique(4) + [(3, 4, 1.0)])
+    assert values(a.cdlp(v, e, iterations=5, directed=False)) == [0, 0, 0, 0, 4, 4, 4, 4, 8]
+    seeds = spark.createDataFrame([(i, 500 - i) for i in range(9)], "id long, label long")
+    assert values(a.cdlp(v, e, iterations=6, seeds=seeds))[:3] == [497, 497, 497]
+    assert values(a.lcc(v, e, directed=False)) == pytest.approx([1, 1, 1, 0.5, 0.5, 1, 1, 1, 0])
+    assert values(a.lcc(v, e)) == pytest.approx([0.5, 0.5, 0.5, 0.25, 0.25, 0.5, 0.5, 0.5, 0])
+
+
+def test_target_and_components(spark):
+    v, e = graph(spark, 40, [(i, (i * 7 + 3) % 40, 1.0 + i % 3) for i in range(20)] + [(i, i + 1, 4.0) for i in range(19)])
+    start = spark.createDataFrame([(0, 0)], "source long, id long")
+    full = {r["id"]: r["dist"] for r in relax(e, start).collect()}
+    for t in (5, 18, 31):
+        some = {r["id"]: r["dist"] for r in relax(e, start, spark.createDataFrame([(t,)], "id long")).collect()}
+        assert some.get(t) == full.get(t)
+    targets = spark.createDataFrame([(t,) for t in (3, 9, 17, 24)], "id long")
+    near = sorted((d, t) for t, d in full.items() if t in (3, 9, 17, 24))[:2]
+    some = sorted((r["dist"], r["id"]) for r in relax(e, start, targets, 2).collect() if r["id"] in (3, 9, 17, 24))[:2]
+    assert some == near
+    assert {r["id"]: r["d"] for r in hops(e, spark.createDataFrame([(0,)], "id long"), target=24).collect()}[24] == {r["id"]: r["d"] for r in hops(e, spark.createDataFrame([(0,)], "id long")).collect()}[24]
+    c = a.wcc(*graph(spark, 6, [(0, 1, 1.0), (2, 3, 1.0)]))
+    assert same_component(c, 0, 1) and not same_component(c, 1, 2) and same_component(c, 4, 4) and not same_component(c, 0, 99)
 
 
 def test_random_lcc_and_paths(spark):

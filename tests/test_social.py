@@ -29,8 +29,9 @@ def rows(df):
 
 
 def test_posting_summary(spark):
-    g = make(spark, message=[msg(100, 1, 10, year=2010), msg(101, 1, 20, content=False, length=50, year=2011), msg(102, 1, 90, length=100, year=2012), msg(200, 1, 15, True, 100, 45, year=2011), msg(201, 1, 11, True, 100, 200, year=2010)])
-    assert rows(run("bi_q1", g, day=50)) == [(2011, True, 1, 1, 45, 4), (2010, False, 0, 1, 10, 4), (2010, True, 3, 1, 200, 4)]
+    """Classes at their borders; what has no content only counts in the total; the day itself is out."""
+    m = [msg(1, 7, 5, length=39, year=2003), msg(2, 7, 6, length=40, year=2003), msg(3, 8, 6, length=79, year=2003), msg(4, 8, 9, True, 1, 160, year=2004), msg(5, 9, 9, True, 1, 159, content=False, year=2004), msg(6, 9, 10, length=1, year=2003)]
+    assert rows(run("bi_q1", make(spark, message=m), day=10)) == [(2004, True, 3, 1, 160, 5), (2003, False, 0, 1, 39, 5), (2003, False, 1, 2, 119, 5)]
 
 
 def test_central_person(spark):
@@ -39,8 +40,51 @@ def test_central_person(spark):
 
 
 def test_thread_initiators(spark):
-    m = [msg(1, 1, 150), msg(2, 1, 250), msg(3, 7, 160, True, 1), msg(4, 7, 120, True, 1), msg(5, 7, 250, True, 3), msg(6, 2, 110), msg(7, 7, 90, True, 6), msg(8, 7, 130, True, 7)]
-    assert rows(run("bi_q9", make(spark, message=m), lo=100, hi=200)) == [(1, 1, 3), (2, 1, 2)]
+    """Two starters: one long thread, whose late reply is out, against two posts without replies."""
+    m = [msg(10, 4, 33), msg(11, 6, 34, True, 10), msg(12, 4, 36, True, 11), msg(13, 5, 40, True, 12), msg(14, 5, 41, True, 13), msg(20, 5, 30), msg(21, 5, 40), msg(30, 9, 29), msg(31, 9, 35, True, 30)]
+    assert rows(run("bi_q9", make(spark, message=m), lo=30, hi=40)) == [(4, 1, 4), (5, 2, 2)]
+
+
+def test_two_tags_on_two_days(spark):
+    """1 wrote on both; 2 too, but has two friends who did; 3 missed the second day."""
+    m = [msg(i, c, d) for i, c, d in ((1, 1, 5), (2, 1, 8), (3, 2, 5), (4, 2, 8), (5, 3, 5), (6, 3, 9), (7, 1, 5))]
+    g = make(spark, message=m, tag=[(50, "A", 1), (51, "B", 1)], has_tag=[(i, 50) for i in (1, 3, 5, 7)] + [(i, 51) for i in (2, 4, 6)], knows=[(2, 1, 0), (2, 3, 0), (1, 2, 0)])
+    p = {"tag_a": "A", "day_a": 5, "tag_b": "B", "day_b": 8}
+    assert rows(run("bi_q16", g, **p, most=1)) == [(1, 2, 1)]
+    assert rows(run("bi_q16", g, **p, most=2)) == [(1, 2, 1), (2, 1, 1)]
+    assert rows(run("bi_q16", g, **{**p, "day_b": 9}, most=9)) == [(3, 1, 1)]
+
+
+def test_tags_by_name(spark):
+    """Authority, co-tags of friends' posts, strangers with one interest."""
+    m = [msg(1, 1, 5), msg(2, 2, 5), msg(3, 3, 6)]
+    g = make(
+        spark, message=m, person=[(i, "", "", "", 1, 1, 1, 1, 1, 1) for i in range(1, 6)], tag=[(70, "X", 1), (71, "Y", 1), (72, "Z", 1)], has_tag=[(1, 70), (2, 71), (2, 72), (3, 71)],
+        likes=[(2, 1, 0), (3, 1, 0), (1, 2, 0), (4, 2, 0), (1, 3, 0)], interest=[(1, 70), (3, 70), (5, 71)], knows=[(1, 2, 0), (2, 1, 0), (2, 3, 0), (3, 2, 0), (3, 5, 0), (5, 3, 0)],
+    )
+    assert rows(run("bi_q6", g, tag="X")) == [(1, 3)]
+    assert rows(run("bi_q6", g, tag="Y")) == [(2, 2), (3, 2)]
+    assert rows(run("ic6", g, person=1, tag="Y", hops=2)) == [("Z", 1)]
+    assert rows(run("bi_q18", g, tag="X")) == [(1, 3, 1), (3, 1, 1)]
+    assert rows(run("bi_q18", g, tag="Y")) == []
+
+
+def test_languages_and_forums(spark):
+    m = [msg(1, 1, 50, length=5), msg(2, 2, 50, True, 1, length=5), msg(3, 2, 60, True, 2, length=5)]
+    g = make(spark, message=m, person=[(i, "", "", "", 1, 1, 1, 1, 1, i % 2) for i in (1, 2, 3)], forum=[(1, "f", 10, 1), (2, "g", 10, 1), (11, "h", 5, 1)], member=[(1, 1, 0), (1, 3, 0), (2, 2, 0), (11, 2, 0)])
+    assert rows(run("bi_q12", g, len=9, day=40, langs=["en", "sv"])) == [(2, 1), (1, 1), (0, 1)]
+    assert rows(run("bi_q12", g, len=9, day=40, langs=["sv"])) == [(0, 3)]
+    assert rows(run("bi_q4", g, day=7, k=5)) == [(2, 2, "1,2"), (1, 1, "1,2"), (3, 0, "1,2")]
+    assert rows(run("bi_q4", g, day=7, k=1)) == [(1, 1, "1"), (3, 0, "1")]
+
+
+def test_conditional_weights(spark):
+    """Replies count only in threads of forums of the window."""
+    m = [msg(1, 1, 1, forum=1), msg(2, 2, 2, True, 1), msg(3, 1, 3, True, 2)]
+    g = make(spark, message=m, forum=[(1, "f", 100, 9)], knows=[(1, 2, 0), (2, 1, 0)])
+    assert rows(run("bi_q15", g, source=1, target=2, lo=90, hi=100)) == [(0.4,)]
+    assert rows(run("bi_q15", g, source=1, target=2, lo=101, hi=200)) == [(1.0,)]
+    assert rows(run("bi_q15", g, source=1, target=7, lo=0, hi=200)) == [(-1.0,)]
 
 
 def test_triangles(spark):
@@ -52,8 +96,8 @@ def test_triangles(spark):
 
 def test_information_propagation(spark):
     m = [msg(1, 1, 1, ms=1000, forum=1), msg(2, 3, 1, ms=10_000_000, forum=2), msg(3, 2, 1, True, 2, ms=11_000_000)]
-    g = make(spark, message=m, has_tag=[(1, 9), (2, 9), (3, 9)], member=[(1, 2, 0), (1, 3, 0)])
-    assert rows(run("bi_q17", g, lo=9, hi=9, delta=1)) == [(1, 1)]
+    g = make(spark, message=m, tag=[(9, "T", 1), (8, "U", 1)], has_tag=[(1, 9), (2, 9), (3, 9)], member=[(1, 2, 0), (1, 3, 0)])
+    assert rows(run("bi_q17", g, tag="T", delta=1)) == [(1, 1)] and rows(run("bi_q17", g, tag="U", delta=1)) == []
 
 
 def test_new_topics(spark):
