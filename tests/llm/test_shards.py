@@ -2,7 +2,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-from skein.llm.shards import minimax, op3_minimax_shards, plan, shard
+from skein.llm.shards import minimax, op3_minimax_shards, search, shard
 from tests.llm.conftest import write
 
 
@@ -29,10 +29,34 @@ def test_minimax_is_optimal():
     assert minimax([], 3) == []
 
 
-def test_large_cells_stand_alone():
-    where = plan([5, 100, 5, 5, 90, 5], 4)
-    assert Counter(where)[where[1]] == 1 and Counter(where)[where[4]] == 1
-    assert max(where) <= 3
+def test_search_is_exact_over_groups(spark):
+    """Far more groups than ranges to begin with; the result is that of all groups in order."""
+    rng = random.Random(8)
+    for n, k, bits, clustered in ((3000, 7, 2, False), (3000, 40, 4, True), (500, 40, 1, False), (30, 40, 2, False), (1, 3, 16, False)):
+        keys = {rng.getrandbits(64) - 2**63 if not clustered or rng.random() < 0.2 else rng.getrandbits(20) for _ in range(n)}
+        groups = sorted((x, rng.randint(16, 5000) if rng.random() < 0.9 else 20000) for x in keys)
+        sizes = [s for _, s in groups]
+        df = spark.createDataFrame(groups, "key long, size long")
+        cuts = search(df, k, sum(sizes), max(sizes), bits=bits, step=3)
+        assert cuts == [groups[c][0] for c in minimax(sizes, k)[:-1]]
+        ends = [next(i for i, g in enumerate(groups) if g[0] == c) for c in cuts] + [len(groups)]
+        if n < 1000:
+            assert max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends)) == best(sizes, k)
+
+
+def test_large_groups_stand_alone_and_long_texts(spark):
+    texts = ["x" * 300_000, None] + ["copy " * 40] * 500 + [f"text {i} " * (1 + i % 9) for i in range(2000)]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, shard string, key int")
+    rows = shard(df, shards=6).collect()
+    where, load = defaultdict(set), Counter()
+    for r in rows:
+        where[texts[r["doc_id"]]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert all(len(v) == 1 for v in where.values()) and len(rows) == len(texts)
+    alone = [min(where["x" * 300_000]), min(where["copy " * 40])]
+    assert sorted(alone) == [0, 1] and load[alone[0]] == 300_016 and load[alone[1]] == 500 * 216
+    rest = [v for k, v in load.items() if k not in alone]
+    assert len(rest) == 4 and max(rest) - min(rest) < 400
 
 
 def test_rows(spark, odd, tmp_path):
