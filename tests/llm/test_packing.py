@@ -1,8 +1,9 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
-from skein.llm.packing import LENGTHS, op4_variable_best_fit, pack, pack_lengths
+from skein.llm.packing import LENGTHS, cost, op4_variable_best_fit, pack, pack_lengths
 from tests.llm.conftest import write
 
 
@@ -22,6 +23,58 @@ def test_pack_lengths():
     assert pack_lengths([]) == ([], [], [])
 
 
+def total_cost(sizes, lengths):
+    return sum(cost(c) for c in pack_lengths(sizes, lengths)[2])
+
+
+def optimum(sizes, lengths):
+    """Least cost over all ways to divide the sizes into bins."""
+    most, best = max(lengths), {0: 0.0}
+    full = (1 << len(sizes)) - 1
+    price = {}
+    for m in range(1, full + 1):
+        held = sum(s for i, s in enumerate(sizes) if m >> i & 1)
+        if held <= most:
+            price[m] = cost(min(c for c in lengths if c >= held))
+    for m in range(1, full + 1):
+        low = m & -m  # the bin of the first size that is left
+        sub, found = m, math.inf
+        while sub:
+            if sub & low and sub in price:
+                found = min(found, price[sub] + best[m ^ sub])
+            sub = (sub - 1) & m
+        best[m] = found
+    return best[full]
+
+
+def test_close_to_the_optimum():
+    rng = random.Random(12)
+    ratios = []
+    for _ in range(60):
+        sizes = [rng.randint(10, rng.choice((400, 1000, 4000))) for _ in range(rng.randint(1, 8))]
+        want = optimum(sizes, LENGTHS)
+        ratios.append(total_cost(sizes, LENGTHS) / want)
+    assert min(ratios) > 0.999999 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.05, (max(ratios), sum(ratios) / len(ratios))
+
+
+def test_several_lengths_beat_each_alone():
+    """Lengths are weighed jointly: short and long documents get bins of different sizes from the start."""
+    rng = random.Random(13)
+    sizes = [rng.choice((505, 1015, 1010, 2030, 250, 120, 4090)) for _ in range(2000)]
+    joint = total_cost(sizes, LENGTHS)
+    for most in LENGTHS:
+        cut = [s for s in sizes if s <= most]
+        if len(cut) == len(sizes):
+            assert joint < 0.95 * total_cost(sizes, (most,))
+    _, _, final = pack_lengths(sizes)
+    opened = Counter(final)
+    assert all(opened[c] > 50 for c in LENGTHS), opened
+    where, _, _ = pack_lengths([1300] * 9, (1400, 4096))
+    assert len(set(where)) == 9  # three in a long bin would cost more than each alone
+    where, _, final = pack_lengths([1300] * 9, (2048, 4096))
+    assert len(set(where)) == 3 and set(final) == {4096}
+
+
 def test_well_filled():
     rng = random.Random(6)
     sizes = [rng.randint(20, 900) for _ in range(3000)]
