@@ -1,12 +1,14 @@
 """Personal data: base patterns plus a semi-Markov conditional random field.
 
 The base patterns find e-mail addresses, IPv4 addresses, payment cards and international
-phone numbers. The field looks at regions of text around digits and ``@``, cut into atoms
-(runs of ASCII letters or digits, single other characters). Candidate segments are runs of
-at most ``LONGEST`` atoms; features of the whole span (its shape, number of digits, check
-digit, brackets, what stands beside it) score each segment under each kind, and a dynamic
-program over the atoms chooses borders and kinds jointly. Its spans are added where they
-overlap no base span; base spans stay as they are.
+phone numbers. The field looks at regions of text around digits, ``@`` and its spellings
+(``(at)``, ``[at]``), cut into atoms (runs of ASCII letters or digits, single other
+characters). Candidate segments are runs of at most ``LONGEST`` atoms and ``MOST``
+characters; features of the whole span (its shape, number of digits, check digit, brackets,
+what stands beside it) score each segment under each kind, and a dynamic program over the
+atoms chooses borders and kinds jointly. Its spans are added where they overlap no base span;
+base spans stay as they are. So numbers written without a country code, cards parted by dots
+and spelled-out addresses are found, which the base patterns miss.
 
 The field is trained here, by gradient steps on its log-likelihood: on ``made`` generated
 regions and, optionally, on regions of at most ``sample`` documents labelled by the base
@@ -14,7 +16,7 @@ patterns. Both bounds are parameters; its size is fixed by its feature templates
 
 Defined cases: null text is empty and has no spans; repeated rows each get their spans; an
 empty table gives no rows and the field still comes from the generated regions; other
-columns are untouched. Work per document is linear in its length.
+columns are untouched. Work per document is linear in its length, whatever its words.
 """
 
 from __future__ import annotations
@@ -29,16 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 14
+#: Bounds of an entity: atoms, characters (an address has at most 254).
+LONGEST, MOST = 18, 260
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: From the first digit of a run only: where that fails, later ones of the same run do too.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]", re.S)
-_REGION = re.compile(r"(?:[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*(?:\x20|\Z|(?=[\x09-\x0D])))+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MARK = re.compile(r"[0-9@]|\(at\)|\[at\]")
 
 
 def luhn(digits: str) -> bool:
@@ -83,9 +88,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str):
-    """(start, end) of maximal runs of words with a digit or ``@``, one space apart."""
-    for m in _REGION.finditer(text):
-        yield m.start(), m.end()
+    """(start, end) of maximal runs of words with a mark, one space apart; also the word after a spelled-out ``at`` and ``dot``."""
+    start = end = None
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        near = end is not None and a == end + 1 and text[end] == " "
+        if _MARK.search(text, a, b) or near and _JOINS.search(text, max(start, end - 5), end) or near and _JOINS.fullmatch(text, a, b):
+            if not near:
+                if start is not None:
+                    yield start, min(len(text), end + 1) if text[end : end + 1] == " " else end
+                start = a
+                if _JOINS.match(text, a, b):  # a name before a spelled-out at
+                    start = _name_before(text, a)
+            end = b
+        elif not near and start is not None:
+            yield start, end + 1 if text[end : end + 1] == " " else end
+            start = end = None
+        elif start is not None and not _MARK.search(text, a, b):
+            yield start, end + 1
+            start = end = None
+    if start is not None:
+        yield start, end + 1 if text[end : end + 1] == " " else end
+
+
+#: Spellings of ``@`` and of the dot, as words of their own.
+_JOINS = re.compile(r"\(at\)|\[at\]|\(dot\)|\[dot\]")
+
+
+def _name_before(text: str, at: int) -> int:
+    """Start of the word before ``at``, if one space parts them and it could be a name."""
+    i = at - 1
+    if i < 1 or text[i] != " ":
+        return at
+    start = i
+    while start > 0 and i - start <= 64 and text[start - 1] in _LOCAL:
+        start -= 1
+    return start if 0 < i - start <= 64 else at
 
 
 def atoms(text: str, start: int, end: int) -> list[int]:
@@ -97,11 +135,23 @@ def shape(span: str) -> str:
     return re.sub(r"a+", "a", re.sub(r"9+", "9", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", span))))
 
 
+_EACH, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]+")
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_PLAIN = re.compile(r"[A-Za-z0-9.@+() %_-]+")
+_PARTED = re.compile(r"[0-9 .-]+")
+_FOURS = re.compile(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}")
+_MORE, _PRIOR = re.compile(r"[ .-]?[0-9]"), re.compile(r"[0-9][ .-]?$|[+(]$")
+
+
 def features(text: str, start: int, end: int) -> list[str] | None:
-    """Whole-span features; None if the span can't be an entity (no ``@``, few digits)."""
+    """Whole-span features; None if the span can't be an entity (no ``@``, few digits, or too long)."""
+    if end - start > MOST or text[start] in " .,;:)]" or text[end - 1] in " (+-.,;:[":
+        return None
     span = text[start:end]
+    spelled = "at)" in span or "at]" in span
     digits = "".join(c for c in span if "0" <= c <= "9")
-    if ("@" not in span and len(digits) < 7 and span.count(".") < 3) or span[0] in " .,;:)" or span[-1] in " (+-.,;:":
+    if not (len(digits) >= 7 or len(digits) >= 4 and span.count(".") >= 3 or ("@" in span or spelled) and ("." in span or "dot" in span)):
         return None
     before, after = text[start - 1 : start], text[end : end + 1]
     parts = span.split(".")
@@ -110,35 +160,44 @@ def features(text: str, start: int, end: int) -> list[str] | None:
         "bias", f"n{n if n < 20 else 20}", f"at{span.count('@')}", f"dots{min(4, len(parts) - 1)}",
         f"alpha{any(c.isalpha() for c in span)}", f"paren{('(' in span) + (')' in span)}", f"plus{span[0] == '+'}",
         f"glued{before.isalnum() or before in ('+', '@', '_')}{after.isalnum() or after in ('@', '_')}",
-        f"more{bool(re.match(r'[ .-]?[0-9]', text[end : end + 2]))}", f"prior{bool(re.search(r'[0-9][ .-]?$|[+(]$', text[max(0, start - 2) : start]))}",
-        f"space{' ' in span}", f"odd{not re.fullmatch(r'[A-Za-z0-9.@+() %_-]+', span)}",
+        f"more{bool(_MORE.match(text[end : end + 2]))}", f"prior{bool(_PRIOR.search(text[max(0, start - 2) : start]))}",
+        f"space{' ' in span}", f"odd{not _PLAIN.fullmatch(span)}",
     ]
     if len(parts) == 4 and all(p.isdigit() for p in parts):
-        f.append(f"octets{all(int(p) <= 255 for p in parts if len(p) < 9)}")
-    if 13 <= n <= 19 and re.fullmatch(r"[0-9 -]+", span):
-        f.append(f"luhn{luhn(digits)}")
-    if re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", span):
+        f.append(f"octets{all(len(p) < 9 and int(p) <= 255 for p in parts)}")
+    if 13 <= n <= 19 and _PARTED.fullmatch(span):
+        f.append(f"luhn{luhn(digits)}{'.' in span}")
+    if _FOURS.fullmatch(span):
+        f.append(f"fours{luhn(digits)}")
+    if _ADDRESS.fullmatch(span):
         f.append("address")
+    if spelled:
+        f.append(f"spelled{bool(_SPELLED.fullmatch(span))}{text[end : end + 1] == '.' and text[end + 1 : end + 2].isalpha()}{bool(re.match(r' ?[(\[]dot', text[end : end + 6]))}")
     if len(span) <= 40:
         f.append("s:" + shape(span))
+    if n and len(span) <= 24:
+        f.append("g:" + _EACH.sub("9", _LETTERS.sub("a", span)))
     return f
 
 
+def _from(text: str, cuts: list[int], i: int):
+    """Candidate segments (end index, features) that begin at atom ``i``."""
+    last = min(i + LONGEST, len(cuts) - 1)
+    most = min(cuts[last], cuts[i] + MOST)
+    if text[cuts[i]] in " .,;:)]" or not _MARK.search(text, cuts[i], most):
+        return
+    for j in range(i + 1, last + 1):
+        if cuts[j] > most:
+            break
+        f = features(text, cuts[i], cuts[j])
+        if f:
+            yield j, f
+
+
 def lattice(text: str, start: int, end: int):
     """Borders, and for each atom index the candidate segments (end index, features) there."""
     cuts = atoms(text, start, end)
-    out = []
-    for i in range(len(cuts) - 1):
-        found = []
-        for j in range(i + 2, min(i + LONGEST, len(cuts) - 1) + 1):
-            f = features(text, cuts[i], cuts[j])
-            if f:
-                found.append((j, f))
-        f = features(text, cuts[i], cuts[i + 1])
-        if f:
-            found.append((i + 1, f))
-        out.append(found)
-    return cuts, out
+    return cuts, [list(_from(text, cuts, i)) for i in range(len(cuts) - 1)]
 
 
 def _scores(w: dict, found):
@@ -146,19 +205,21 @@ def _scores(w: dict, found):
 
 
 def decode(w: dict, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    """Best segmentation of a region; atoms outside entities score 0 each."""
-    cuts, found = lattice(text, start, end)
-    if not any(found):
-        return []
+    """Best segmentation of a region; atoms outside entities score 0 each.
+
+    Candidates are scored as the program comes to them and not kept.
+    """
+    cuts = atoms(text, start, end)
     n = len(cuts) - 1
     best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
-    scored = _scores(w, found)
     for i in range(n):
         if best[i] > best[i + 1]:
             best[i + 1], back[i + 1] = best[i], (i, None)
-        for j, k, s, _ in scored[i]:
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, k)
+        for j, f in _from(text, cuts, i):
+            for k in range(len(KINDS)):
+                s = best[i] + sum(w.get((k, x), 0.0) for x in f)
+                if s > best[j]:
+                    best[j], back[j] = s, (i, k)
     out, at = [], n
     while at:
         i, k = back[at]
@@ -204,7 +265,7 @@ def _made(rng: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
         n = rng.choice((15, 16, 16, 16, 19)) - 1
         s = d(n)
         s += next(c for c in "0123456789" if luhn(s + c))
-        return s if rng.random() < 0.6 or len(s) != 16 else rng.choice(" -").join(s[i : i + 4] for i in range(0, 16, 4))
+        return s if rng.random() < 0.4 or len(s) != 16 else rng.choice(" -..").join(s[i : i + 4] for i in range(0, 16, 4))
 
     def wrong():
         s = d(16)
@@ -215,17 +276,25 @@ def _made(rng: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
         sep = rng.choice(" -.")
         return rng.choice((f"{c} ({d(3)}) {d(3)}-{d(4)}", f"{c}{sep}{d(3)}{sep}{d(3)}{sep}{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}")).strip(" .-")
 
+    def spelled():
+        at, dot = rng.choice((("(at)", "(dot)"), ("[at]", "[dot]"), ("(at)", "."), ("[at]", ".")))
+        gap = rng.choice(("", " "))
+        dot = f"{gap}{dot}{gap}" if dot != "." else dot
+        name = f"{word()}{rng.choice(('', '.', '_'))}{rng.choice((word(), d(2)))}"
+        return f"{name}{gap}{at}{gap}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
+
     makers = (
-        (0, lambda: f"{word()}{rng.choice(('', '.', '_', '+'))}{rng.choice((word(), d(2)))}@{word()}{rng.choice(('', d(1)))}.{rng.choice(('', word() + '.'))}{rng.choice(('com', 'org', 'net', 'de'))}"),
+        (0, spelled), (0, lambda: f"{word()}{rng.choice(('', '.', '_', '+'))}{rng.choice((word(), d(2)))}@{word()}{rng.choice(('', d(1)))}.{rng.choice(('', word() + '.'))}{rng.choice(('com', 'org', 'net', 'de'))}"),
         (1, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))), (2, card), (3, phone),
         (None, wrong), (None, lambda: d(rng.randint(1, 12))), (None, lambda: f"{d(4)}-{d(2)}-{d(2)}"), (None, lambda: f"{d(1)}.{d(1)}.{d(2)}"),
         (None, lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4))), (None, lambda: f"{d(2)}:{d(2)}:{d(2)}"),
         (None, lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((12, 32, 40))))), (None, lambda: f"{word()}{d(3)}"), (None, lambda: f"@{word()}"),
         (None, lambda: f"{d(4)} {d(4)}"), (None, lambda: f"{d(3)}.{d(2)}"),
+        (None, lambda: f"{word()} (at) {d(2)}"), (None, lambda: f"{d(4)}.{d(4)}.{d(4)}"), (None, lambda: f"{d(3)} {word()} {d(4)}"),
     )
     text, spans = "", set()
     for _ in range(rng.randint(1, 3)):
-        kind, make = rng.choice(makers[:4] if rng.random() < 0.5 else makers)
+        kind, make = rng.choice(makers[:5] if rng.random() < 0.5 else makers)
         s = make()
         text += rng.choice(("", "", '"', "(", "#"))
         if kind is not None:
@@ -256,7 +325,7 @@ def train(texts: list[str] = (), made: int = 900, rounds: int = 4, seed: int = 7
 def spans(w: dict, text: str) -> list[tuple[int, int, int]]:
     """Base spans and, where they leave room, the field's."""
     base = base_spans(text)
-    if not _DIGIT.search(text) and "@" not in text:
+    if not _MARK.search(text):
         return base
     out, k = list(base), 0
     for a, b in regions(text):
