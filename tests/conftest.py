@@ -20,3 +20,10 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+
+
+def write(tmp_path, **tables):
+    """A data folder with the given tables."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
