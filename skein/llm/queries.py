@@ -7,6 +7,7 @@ from skein.llm.chat import op1_chat_windows
 from skein.llm.fingerprints import op5_bloom_lookup_sketch
 from skein.llm.jaccard import op7_adaptive_prefix_join
 from skein.llm.maxent import op2_class_maxent
+from skein.llm.oracles import ORACLES  # noqa: F401
 from skein.llm.packing import op4_variable_best_fit
 from skein.llm.pii import op10_semi_markov_pii
 from skein.llm.quality import op6_weak_supervision
@@ -28,7 +29,3 @@ QUERIES = {
         op10_semi_markov_pii,
     )
 }
-
-#: None of these can be stated in plain SQL as a whole; each is tested against a plain
-#: brute-force version in tests/llm.
-ORACLES: dict[str, str] = {}
