@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,19 +141,41 @@ class Trainer:
                 self._move(w, sq, used, rr, grad[order], first)
 
 
-_PARTS = 16
+_PARTS, _ARITY = 16, 32
 
 
-def train(docs: DataFrame, common: np.ndarray, counts: np.ndarray, rounds: int = 2, rate: float = 0.3) -> Model:
-    """Weights after ``rounds`` rounds that take half (a part) of the training documents each."""
+def _summed(made: DataFrame, tasks: int) -> DataFrame:
+    """Sum of the tasks' arrays of each part, in a tree: no node loads more than ``_ARITY`` of them."""
+
+    def add(key, rows):
+        total = None
+        for x in rows.column("data"):
+            a = np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+            total = a if total is None else np.add(total, a, out=total)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    while True:
+        made = made.withColumn("task", F.floor(F.col("task") / _ARITY).cast("int")).groupBy("part", "task").applyInArrow(add, "part int, task int, data binary")
+        tasks = -(-tasks // _ARITY)
+        if tasks <= 1:
+            return made
+
+
+def train(docs: DataFrame, common: np.ndarray, counts: np.ndarray, rounds: int = 2, rate: float = 0.3, task_bytes: int = 96 << 20) -> Model:
+    """Weights after ``rounds`` rounds that take half (a part) of the training documents each.
+
+    A round has a task for each ``task_bytes`` of text, whatever the cluster's cores; their
+    weights are averaged by how often a row was used.
+    """
     spark = docs.sparkSession
     model = Model.start(counts)
-    tasks = task_count(docs, F.octet_length("text"), 512 << 20, spark.sparkContext.defaultParallelism)
+    tasks = task_count(docs, F.octet_length("text"), task_bytes, 8)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((model, common))
 
         def run(batches, shared=shared):
             model, common = shared.value
+            task = TaskContext.get().partitionId()
             t = Trainer(model, rate)
             for batch in batches:
                 for rows in chunks(batch.column(0)):
@@ -164,14 +187,10 @@ def train(docs: DataFrame, common: np.ndarray, counts: np.ndarray, rounds: int =
             made = [(t.m.group - model.group) * t.gn[:, None], t.gn, (t.m.within - model.within) * t.wn[:, None], t.wn]
             for k in range(_PARTS):
                 data = b"".join(np.array_split(x, _PARTS)[k].astype(np.float32).tobytes() for x in made)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
-
-        def add(key, rows):
-            total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in rows.column("data"))
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([data], pa.binary())], names=["part", "task", "data"])
 
         mine = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text").coalesce(tasks)
-        found = {x["part"]: np.frombuffer(bytes(x["data"]), np.float32) for x in mine.mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator()}
+        found = {x["part"]: np.frombuffer(bytes(x["data"]), np.float32) for x in _summed(mine.mapInArrow(run, "part int, task int, data binary"), tasks).toLocalIterator()}
         if found:
             n, m = FEATURES * ROWS // _PARTS, FEATURES * ROWS * GROUPS // _PARTS
             cut = lambda k, a, b: np.concatenate([found[p][a:b] for p in range(_PARTS)])
