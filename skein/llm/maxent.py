@@ -36,6 +36,7 @@ CLASSES = GROUPS * GROUPS
 FEATURES, ROWS = 4, 4096
 END, START = np.uint64(0x123456789ABCDEF1), np.uint64(0x0FEDCBA987654321)
 MINI = 16384
+_ONES = np.ones(GROUPS, np.float32)
 
 
 def tokens(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,25 +92,29 @@ class Model:
         c = counts.reshape(GROUPS, GROUPS) + 0.5
         return Model(np.log(c.sum(1) / c.sum()).astype(np.float32), np.log(c / c.sum(1, keepdims=True)).astype(np.float32))
 
-    def scores(self, f: np.ndarray, cls: np.ndarray):
-        """Log-softmax of groups, of classes in the right group, and the rows used."""
+    def logits(self, f: np.ndarray, cls: np.ndarray):
+        """Logits of groups, of classes in the right group, and the rows used.
+
+        They are small (biases are logarithms of counts), so no maximum is taken off before
+        they are raised.
+        """
         g = cls // GROUPS
         rows = f + (np.arange(FEATURES) * ROWS)[:, None]
         deep = rows * GROUPS + g
-        a, b = self.group_bias + self.group[rows[0]], self.class_bias[g] + self.within[deep[0]]
+        a, b = self.group.take(rows[0], 0), self.within.take(deep[0], 0)
+        a += self.group_bias
+        b += self.class_bias.take(g, 0)
         for k in range(1, FEATURES):
-            a += self.group[rows[k]]
-            b += self.within[deep[k]]
-        for x in (a, b):
-            x -= x.max(1, keepdims=True)
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
+            a += self.group.take(rows[k], 0)
+            b += self.within.take(deep[k], 0)
         return a, b, g, rows, deep
 
     def log10(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """log10 P(class | before) of each token."""
-        a, b, g, _, _ = self.scores(f, cls)
+        a, b, g, _, _ = self.logits(f, cls)
         at = np.arange(len(cls))
-        return (a[at, g].astype(float) + b[at, cls % GROUPS]) / np.log(10)
+        right = a[at, g].astype(float) + b[at, cls % GROUPS]
+        return (right - np.log(np.exp(a) @ _ONES) - np.log(np.exp(b) @ _ONES)) / np.log(10)
 
 
 class Trainer:
@@ -123,22 +128,26 @@ class Trainer:
     def _move(self, weights, squares, used, rows, grad, first):
         total = np.add.reduceat(grad, first, axis=0)
         at = rows[first]
-        n = np.diff(np.append(first, len(rows)))
-        used[at] += n
-        squares[at] += (total * total).mean(1)
-        weights[at] += total * (self.rate / np.sqrt(squares[at] + 1.0))[:, None]
+        used[at] += np.diff(np.append(first, len(rows)))
+        so_far = squares[at] + np.einsum("ij,ij->i", total, total) / GROUPS
+        squares[at] = so_far
+        total *= (self.rate / np.sqrt(so_far + 1.0))[:, None]
+        total += weights.take(at, 0)
+        weights[at] = total
 
     def step(self, f: np.ndarray, cls: np.ndarray) -> None:
-        a, b, g, rows, deep = self.m.scores(f, cls)
+        a, b, g, rows, deep = self.m.logits(f, cls)
         at = np.arange(len(cls))
-        ga, gb = -np.exp(a), -np.exp(b)
+        ga, gb = np.exp(a, out=a), np.exp(b, out=b)
+        ga *= (-1 / (ga @ _ONES))[:, None]
+        gb *= (-1 / (gb @ _ONES))[:, None]
         ga[at, g] += 1
         gb[at, cls % GROUPS] += 1
         for k in range(FEATURES):
             order = np.argsort((f[k] * GROUPS + g).astype(np.uint16), kind="stable")
             for rr, grad, w, sq, used in ((rows[k][order], ga, self.m.group, self.g2, self.gn), (deep[k][order], gb, self.m.within, self.w2, self.wn)):
                 first = np.flatnonzero(np.concatenate([[True], rr[1:] != rr[:-1]]))
-                self._move(w, sq, used, rr, grad[order], first)
+                self._move(w, sq, used, rr, grad.take(order, 0), first)
 
 
 _PARTS, _ARITY = 16, 32
