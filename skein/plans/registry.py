@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.search import full_text_search, full_text_search_ranked, geo_knn
 from skein.operators import algorithms, paths
-from skein.plans import bi, finance, interactive, publishing
+from skein.plans import bi, finance, interactive, publishing, surface
 from skein.plans.graph import PropertyGraph, build, with_roots
 from skein.sources import views
 
@@ -301,8 +301,13 @@ SEARCH_SQL = {
 NAMES = [*bi.QUERIES, *interactive.QUERIES, *finance.QUERIES, *publishing.QUERIES]
 
 
+def _surface(f, view: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(build(spark, sf_dir, view))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{n: query(n) for n in NAMES}, **ALGORITHMS, **SEARCH}
+    more = {f"graph_{f.__name__}": _surface(f, FAMILIES[k]) for k, fs in surface.QUERIES.items() for f in fs}
+    return {**{n: query(n) for n in NAMES}, **ALGORITHMS, **SEARCH, **more}
 
 
 def oracles() -> dict[str, str]:
@@ -310,4 +315,5 @@ def oracles() -> dict[str, str]:
     out.update({n: assemble(s, views.FINANCE, {}) for n, s in ALGORITHM_SQL.items()})
     out["fts_bm25"] = SEARCH_SQL["fts_bm25"]
     out["geo_nearest"] = assemble(SEARCH_SQL["geo_nearest"], views.PUBLISHING, {})
+    out.update({f"graph_{f.__name__}": assemble(surface.SQL[f.__name__], FAMILIES[k], {}) for k, fs in surface.QUERIES.items() for f in fs})
     return out
