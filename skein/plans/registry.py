@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.search import full_text_search, full_text_search_ranked, geo_knn
 from skein.operators import algorithms, paths
-from skein.plans import bi, finance, interactive, publishing, surface
+from skein.plans import bi, finance, independent, interactive, publishing, surface
 from skein.plans.graph import PropertyGraph, build, with_roots
 from skein.sources import views
 
@@ -194,7 +194,9 @@ def assemble(sql: str, view: dict[str, str], derived: dict[str, str]) -> str:
 
 
 def oracle(name: str) -> str:
+    """DuckDB SQL of a family query: a text of its own where there is one, else the query's."""
     sql, p = text(name)
+    sql = independent.SQL.get(name, sql)
     derived = {"thread": _THREAD, "under": _UNDER}
     needed = views.names(sql)
     if "near" in needed:
