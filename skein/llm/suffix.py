@@ -278,7 +278,8 @@ def dedup(docs: DataFrame, length: int = 200, batch_bytes: int = 8 << 20, digest
     """
     if length % 4 or length <= GRAM:
         raise ValueError("length must be a multiple of 4 and over 64")
-    if clash := {"kept", "n_bytes", "n_removed", "n_spans", "spans", "sa_batch", "sa_hash"} & set(docs.columns) - ({"n_bytes", "spans"} if digest else set()):
+    clash = {"kept", "n_bytes", "n_removed", "n_spans", "spans", "sa_batch", "sa_hash"} & set(docs.columns)
+    if clash and not digest:
         raise ValueError(f"columns that dedup adds itself: {sorted(clash)}")
     n = task_count(docs, F.octet_length("text"), batch_bytes, 256)
     bits = max(4, (n - 1).bit_length())
