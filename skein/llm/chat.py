@@ -11,13 +11,19 @@ Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. In texts and roles every ``<
 backslashes, ``|`` gets one more backslash, so no control string can occur inside them;
 in roles ``%`` and line breaks are percent-coded as well. Both are undone exactly.
 
+A conversation of up to ``segment`` rows is one array. A longer one is never gathered: where
+the next window would begin if one began at a turn only depends on the turns just after it
+(a turn has four tokens at least, so a window has at most ``budget / 4`` turns). So segments
+of that many rows, with some neighbours on both sides, work out this jump for each of their
+turns, hence where a chain of windows that enters the segment at a turn leaves it. These
+maps are composed in a tree, the tree is walked down again for the turn at which the chain
+enters each segment, and the windows are then gathered one by one. They are the same as if
+the conversation were one array.
+
 Defined cases: null role or text is the empty string; null conv_id is a conversation of
 its own; null turn sorts first; equal turns are ordered by role, then text, and repeated
-rows are all kept; an empty table gives no rows; further columns are ignored. A
-conversation of more than ``segment`` rows is windowed in segments of that many, so no task
-gathers an unbounded conversation; a window ends with its segment, and the next segment
-repeats the system turn and the history as any window does. An empty text yields an empty
-target.
+rows are all kept; an empty table gives no rows; further columns are ignored, whatever their
+names; a very long text is a window of its own. An empty text yields an empty target.
 """
 
 from __future__ import annotations
@@ -50,15 +56,12 @@ def _role_in(c):
 _HIST = """element_at(filter(sequence(greatest(head, turns[{i}].hist), {i}),
   h -> turns[{i}].before - turns[h].before <= greatest(0L, {budget} - sys_tokens - turns[{i}].tokens)), 1)"""
 
-#: Spans of one segment as struct(hist, start, end), from the ``lead`` rows on that are
-#: only repeated. Each turn knows the tokens before it and the first turn of the history
-#: it may repeat, so this is one pass.
+#: Spans of a conversation as struct(hist, start, end). Each turn knows the tokens before it
+#: and the first turn of the history it may repeat, so this is one pass.
 _SPANS = """
 aggregate(
-  sequence(lead, size(turns) - 1),
-  named_struct('start', lead, 'hist', first_hist,
-               'used', if(lead > 0, sys_tokens + turns[lead].before - turns[first_hist].before, 0L),
-               'spans', cast(array() as array<struct<hist:int,start:int,end:int>>)),
+  sequence(0, size(turns) - 1),
+  named_struct('start', 0, 'hist', 0, 'used', 0L, 'spans', cast(array() as array<struct<hist:int,start:int,end:int>>)),
   (a, i) -> if(
     i = a.start or a.used + turns[i].tokens <= {budget},
     named_struct('start', a.start, 'hist', a.hist, 'used', a.used + turns[i].tokens, 'spans', a.spans),
@@ -109,49 +112,125 @@ def _numbered(rows: DataFrame, long: DataFrame) -> DataFrame:
     )
 
 
-def _segmented(rows: DataFrame, segment: int, history: int) -> DataFrame:
-    """``rows`` with seg and own: 2, or 0 for the system turn and 1 for the history that a later segment repeats."""
-    segment = max(segment, -(-history // 4))  # a turn has 4 tokens at least: history ends within one segment
-    long = cut(rows.groupBy("conv_id").agg(F.count("*").alias("c")).filter(F.col("c") > segment))
-    short = rows.alias("r").join(F.broadcast(long).alias("l"), F.expr("r.conv_id <=> l.conv_id"), "left_anti")
-    short = short.select(*rows.columns, F.lit(0).cast("long").alias("seg"), F.lit(2).alias("own"))
-    x = cut(_numbered(rows, long).withColumn("seg", F.floor(F.col("rn") / segment).cast("long")))
-    first = x.filter("rn = 0 and role = 'system'").drop("seg", "rn", "c")
-    later = x.filter((F.col("rn") > 0) & (F.col("rn") % segment == 0)).select("conv_id", "seg")
-    lead = later.alias("r").join(first.alias("l"), F.expr("r.conv_id <=> l.conv_id")).select("l.*", "r.seg", F.lit(0).alias("own"))
-    back = Window.partitionBy("conv_id", "seg").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    carried = x.filter((F.col("rn") % segment >= segment - -(-history // 4)) & ((F.col("seg") + 1) * segment < F.col("c")))
-    carried = carried.withColumn("tail", F.sum("tokens").over(back)).filter((F.col("tail") <= history) & ~F.expr("rn = 0 and role = 'system'"))
-    carried = carried.select(*rows.columns, (F.col("seg") + 1).alias("seg"), F.lit(1).alias("own"))
-    own = x.select(*rows.columns, "seg", F.lit(2).alias("own"))
-    return short.unionByName(own).unionByName(lead).unionByName(carried)
+#: First row of the history that a window opening at row ``r`` of ``t`` repeats, and its tokens.
+_BACK = """try_element_at(filter(slice(t, greatest(1, k - {most}), least(k, {most} + 1)),
+  x -> x.rn >= head and r.before - x.before <= greatest(0L, least({history}L, {budget}L - sys_tokens - r.tokens))), 1)"""
+#: First row after ``k`` that does not fit a window opening there, or null.
+_NEXT = """try_element_at(filter(slice(t, k + 1, {most} + 1), x -> x.before + x.tokens - r.before + used > {budget}), 1)"""
 
 
-def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, segment: int = 256) -> DataFrame:
-    """Windows of every conversation: conv_id, seg, window, formatted, mask, n_context, n_tokens."""
-    rows = turns.select(
-        "conv_id",
-        "turn",
-        F.coalesce(F.col("role"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).withColumn("tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long") + 4)
-    rows = _segmented(rows, int(segment), int(history))
-    whole = Window.partitionBy("conv_id", "seg")
-    place = whole.orderBy("own", "turn", "role", "text")
+def _jumps(x: DataFrame, segment: int, budget: int, history: int) -> DataFrame:
+    """conv_id, seg, c and for each row of a segment: where a window that opens there begins to repeat, and ends."""
+    ahead, behind = -(-budget // 4) + 1, -(-history // 4) + 1
+    slim = x.select("conv_id", "rn", "c", F.col("tokens"), (F.col("rn").eqNullSafe(0) & (F.col("role") == "system")).alias("is_head"))
+    first = slim.filter("rn = 0").select(F.col("conv_id").alias("conv"), F.when(F.col("is_head"), F.col("tokens")).otherwise(F.lit(0)).cast("long").alias("sys_tokens"), F.col("is_head").cast("int").alias("head"))
+    at = f"(rn div {segment})"
+    near = F.expr(
+        f"filter(array({at}, if(rn % {segment} < {ahead}, {at} - 1, null), if(rn % {segment} >= {segment - behind} and ({at} + 1) * {segment} < c, {at} + 1, null)), s -> s >= 0)"
+    )
+    rows = slim.withColumn("seg", F.explode(near))
+    so_far = Window.partitionBy("conv_id", "seg").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("before", F.sum("tokens").over(so_far) - F.col("tokens"))
+    g = rows.groupBy("conv_id", "seg", "c").agg(F.sort_array(F.collect_list(F.struct("rn", "tokens", "before"))).alias("t"))
+    g = g.alias("g").join(F.broadcast(first).alias("f"), F.expr("g.conv_id <=> f.conv")).select("g.*", "sys_tokens", "head")
+    sizes = {"budget": budget, "history": history}
+    back = _BACK.format(most=behind, **sizes)
+    follow = _NEXT.format(most=ahead, **sizes)
+    one = (
+        f"transform(array({back}), y -> transform(array(if(r.rn = 0, 0L, sys_tokens + r.before - y.before)), used ->"
+        f" named_struct('rn', r.rn, 'hist', if(r.rn = 0, 0L, y.rn), 'next', coalesce({follow}.rn, c)))[0])[0]"
+    )
+    own = f"filter(transform(t, (r, i) -> named_struct('r', r, 'k', i + 1)), z -> z.r.rn div {segment} = seg)"
+    return g.select("conv_id", "seg", "c", F.expr(f"transform({own}, z -> transform(array(z.r), r -> transform(array(z.k), k -> {one})[0])[0])").alias("jump"))
+
+
+#: Composed maps: a map is the array of the rows at which chains leave, by the row at which they enter.
+_WIDE = 64
+
+
+def _entries(jumps: DataFrame, segment: int, segments: int) -> DataFrame:
+    """conv_id, seg, entry: the first row of each segment at which a window begins."""
+    leave = (
+        "aggregate(reverse(jump), cast(array() as array<bigint>),"
+        f" (out, j) -> concat(array(if(j.next >= least(c, (seg + 1) * {segment}), j.next, out[cast(j.next - j.rn - 1 as int)])), out))"
+    )
+    levels = [cut(jumps.select("conv_id", "c", F.col("seg").alias("at"), (F.col("seg") * segment).alias("base"), F.expr(leave).alias("map")))]
+    while segments > 1:
+        segments = -(-segments // _WIDE)
+        step = "if(e >= c, e, m.map[cast(e - m.base as int)])"
+        g = levels[-1].groupBy("conv_id", "c", F.expr(f"at div {_WIDE}").alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "base", "map"))).alias("m"))
+        composed = f"aggregate(slice(m, 2, size(m)), m[0].map, (acc, m) -> transform(acc, e -> {step}))"
+        levels.append(cut(g.select("conv_id", "c", F.col("up").alias("at"), F.expr("m[0].base").alias("base"), F.expr(composed).alias("map"))))
+    found = levels[-1].select("conv_id", "c", "at", F.lit(0).cast("long").alias("entry"))
+    for below in levels[-2::-1]:
+        g = below.groupBy("conv_id", F.expr(f"at div {_WIDE}").alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "base", "map"))).alias("m"))
+        j = g.alias("g").join(found.alias("f"), F.expr("g.conv_id <=> f.conv_id and g.up = f.at")).select("g.conv_id", "f.c", "g.m", "f.entry")
+        walk = (
+            "aggregate(m, named_struct('e', entry, 'out', cast(array() as array<struct<at:bigint,entry:bigint>>)),"
+            " (a, m) -> named_struct('e', if(a.e >= c, a.e, m.map[cast(a.e - m.base as int)]), 'out', concat(a.out, array(named_struct('at', m.at, 'entry', a.e)))), a -> a.out)"
+        )
+        found = cut(j.select("conv_id", "c", F.explode(F.expr(walk)).alias("x")).select("conv_id", "c", "x.at", "x.entry").filter("entry < c"))
+    return found.select("conv_id", F.col("at").alias("seg"), "entry")
+
+
+def _long_windows(x: DataFrame, segment: int, budget: int, history: int) -> DataFrame:
+    """conv_id, seg (the row at which it begins), window and members of the windows of numbered long conversations."""
+    jumps = cut(_jumps(x, segment, budget, history))
+    segments = jumps.agg(F.max("seg")).first()[0] + 1
+    begun = jumps.alias("j").join(_entries(jumps, segment, segments).alias("e"), F.expr("j.conv_id <=> e.conv_id and j.seg = e.seg")).select("j.conv_id", "jump", "entry")
+    orbit = (
+        "aggregate(jump, named_struct('e', entry, 'out', cast(array() as array<struct<rn:bigint,hist:bigint,next:bigint>>)),"
+        " (a, j) -> if(j.rn = a.e, named_struct('e', j.next, 'out', concat(a.out, array(j))), a), a -> a.out)"
+    )
+    windows = begun.select("conv_id", F.explode(F.expr(orbit)).alias("w")).select("conv_id", F.col("w.rn").alias("start"), F.col("w.hist").alias("hist"), F.col("w.next").alias("end"))
+    covered = windows.withColumn("at", F.explode(F.expr("sequence(hist, end - 1)"))).select("conv_id", "start", "at")
+    head = x.filter("rn = 0 and role = 'system'").select(F.col("conv_id").alias("conv"))
+    again = windows.filter("start > 0").alias("w").join(F.broadcast(head).alias("h"), F.expr("w.conv_id <=> h.conv")).select("w.conv_id", "w.start", F.lit(0).cast("long").alias("at"))
+    covered = covered.unionByName(again)
+    met = covered.alias("v").join(x.alias("x"), F.expr("v.conv_id <=> x.conv_id and v.at = x.rn")).select("v.conv_id", "v.start", "v.at", "x.role", "x.text")
+    g = met.groupBy("conv_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("m"))
+    members = F.expr("transform(m, t -> named_struct('role', t.role, 'text', t.text, 'ctx', t.at < start, 'target', t.at >= start and t.role = 'assistant'))")
+    return g.select("conv_id", F.col("start").alias("seg"), F.lit(0).alias("window"), members.alias("members"))
+
+
+def _short_windows(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """The same of conversations that are one array."""
+    whole = Window.partitionBy("conv_id")
+    place = whole.orderBy("turn", "role", "text")
     rows = rows.withColumns({
         "i": F.row_number().over(place) - 1,
         "before": F.sum("tokens").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"),
     })
     rows = rows.withColumn("hist", F.min("i").over(whole.orderBy("before").rangeBetween(-int(history), 0)))
-    g = rows.groupBy("conv_id", "seg").agg(
-        F.sort_array(F.collect_list(F.struct("i", "own", "role", "text", "tokens", "before", "hist"))).alias("turns")
+    g = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "role", "text", "tokens", "before", "hist"))).alias("turns")
     )
-    g = g.withColumn("lead", F.expr("size(filter(turns, t -> t.own < 2))"))
     g = g.withColumn("head", F.expr("if(turns[0].role = 'system', 1, 0)"))
     g = g.withColumn("sys_tokens", F.expr("if(head = 1, turns[0].tokens, 0L)"))
-    g = g.withColumn("first_hist", F.expr(f"if(lead > 0, {_HIST.format(i='lead', budget=int(budget))}, 0)"))
     g = g.withColumn("spans", F.expr(_SPANS.format(budget=int(budget), hist=_HIST.format(i="i", budget=int(budget)))))
-    w = g.select("conv_id", "seg", F.posexplode(F.expr(_WINDOWS)).alias("window", "members"))
+    return g.select("conv_id", F.lit(0).cast("long").alias("seg"), F.posexplode(F.expr(_WINDOWS)).alias("window", "members"))
+
+
+def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, segment: int = 256) -> DataFrame:
+    """Windows of every conversation: conv_id, seg, window, formatted, mask, n_context, n_tokens.
+
+    ``seg`` is the row at which a window of a long conversation begins, else 0; windows are in
+    the order of seg and window. ``segment`` (raised to hold a window) decides how the work is
+    divided, not the windows.
+    """
+    budget, history = int(budget), int(history)
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.coalesce(F.col("role"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    ).withColumn("tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long") + 4)
+    segment = max(int(segment), -(-max(budget, history) // 4) + 2)
+    long = cut(rows.groupBy("conv_id").agg(F.count("*").alias("c")).filter(F.col("c") > segment))
+    short = rows.alias("r").join(F.broadcast(long).alias("l"), F.expr("r.conv_id <=> l.conv_id"), "left_anti")
+    w = _short_windows(short, budget, history)
+    if not long.isEmpty():
+        w = w.unionByName(_long_windows(cut(_numbered(rows, long)), segment, budget, history))
     shown = F.transform(
         "members",
         lambda t: F.struct(

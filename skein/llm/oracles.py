@@ -21,9 +21,9 @@ hist AS MATERIALIZED (SELECT a.conv_id, a.i, max(a.before - b.before) AS tokens,
     AND a.before - b.before <= greatest(0, least(128, 512 - a.head_tokens - a.tokens)) GROUP BY a.conv_id, a.i),
 run AS (
   SELECT conv_id, i, tokens AS used, 0 AS again, 1 AS windows FROM t WHERE i = 0
-  UNION ALL SELECT t.conv_id, t.i, CASE WHEN t.i % 256 <> 0 AND r.used + t.tokens <= 512 THEN r.used + t.tokens ELSE t.head_tokens + coalesce(h.tokens, 0) + t.tokens END,
-    CASE WHEN t.i % 256 <> 0 AND r.used + t.tokens <= 512 THEN r.again ELSE r.again + t.head_chars + coalesce(h.chars, 0) END,
-    CASE WHEN t.i % 256 <> 0 AND r.used + t.tokens <= 512 THEN r.windows ELSE r.windows + 1 END
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN r.used + t.tokens <= 512 THEN r.used + t.tokens ELSE t.head_tokens + coalesce(h.tokens, 0) + t.tokens END,
+    CASE WHEN r.used + t.tokens <= 512 THEN r.again ELSE r.again + t.head_chars + coalesce(h.chars, 0) END,
+    CASE WHEN r.used + t.tokens <= 512 THEN r.windows ELSE r.windows + 1 END
   FROM run r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.i = r.i + 1 LEFT JOIN hist h ON h.conv_id IS NOT DISTINCT FROM t.conv_id AND h.i = t.i),
 last AS (SELECT conv_id, max(again) AS again, max(windows) AS windows FROM run GROUP BY conv_id),
 said AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t GROUP BY conv_id)
