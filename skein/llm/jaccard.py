@@ -123,7 +123,8 @@ def _finish(rows: pa.Table) -> pa.Table:
 def linkable(docs: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, set size n, set hash h1 h2 of every row, and ``can``: whether it can link or has a copy.
 
-    A range of hashes gets about ``range_bytes`` of text's worth of shingles.
+    A range of hashes gets about ``range_bytes`` of text's worth of shingles. ``docs`` should be
+    read from a table, whose rows come in the same order when a lost task is run again.
     """
     bits = (task_count(docs, F.octet_length("text"), range_bytes, 256) - 1).bit_length()
 

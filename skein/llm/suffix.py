@@ -3,11 +3,11 @@
 A byte goes if it lies in a ``length``-byte string that also starts anywhere else (matches
 stay inside documents; overlaps count; everything is judged on the input). Positions are
 ranked by growing prefixes: the rank of the first 2k bytes at p comes from the pair (rank
-of k bytes at p, rank of k bytes at p + k); the pairs are brought together by range and
-sorted, equal pairs get equal ranks, and a position whose rank is unique is done, because
-no longer prefix of it can repeat. Positions still shared at ``length`` are starts of
-repeated strings. A rank is a 64-bit hash of its pair, so equal pairs get the same rank in
-every task and a rank needs no second trip through the cluster.
+of k bytes at p, rank of k bytes at p + k). Ranks start as rolling hashes of a quarter of
+``length`` and are doubled twice; what is unique at half of it is dropped before the second
+time, because no longer prefix of it can repeat. The pairs are brought together by range and
+sorted there. A rank is a 64-bit hash of its pair, so equal pairs get the same rank in every
+task and a rank needs no second trip through the cluster.
 
 Most positions are settled before the first sort, by blocks. Every window of ``length``
 bytes picks the 64-byte gram of least hash inside it; a run of starts with the same pick is
