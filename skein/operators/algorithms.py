@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.components import components
 from skein.operators.lineage import cut
 from skein.operators.paths import both_ways, hops, relax
 
@@ -31,25 +32,9 @@ def sssp(vertices: DataFrame, edges: DataFrame, source: int, directed: bool = Tr
 
 
 def wcc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id of the weakly connected component.
-
-    Alternating large and small stars until nothing changes; the minima are pre-aggregated,
-    so hubs are cheap.
-    """
-    e = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    e, state = cut(e), None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = cut(small.filter("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return vertices.select("id").join(e.select(F.col("a").alias("id"), "b"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
+    """(id, component): the least id of the weakly connected component."""
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return vertices.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 10, directed: bool = True) -> DataFrame:

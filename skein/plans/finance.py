@@ -115,5 +115,12 @@ QUERIES = {
         t AS (SELECT t.src, t.dst, t.amt, row_number() OVER (PARTITION BY t.src ORDER BY t.amt DESC, t.dst, t.ts) AS rk FROM {{transfer}} t WHERE t.src IN (SELECT dst FROM mine) AND t.{_WINDOW})
         SELECT t.dst AS account, round(sum(t.amt), 6) AS total FROM t WHERE rk <= :limit AND t.dst IN (SELECT o.dst FROM {{own}} o JOIN {{company}} c ON c.id = o.src) GROUP BY t.dst ORDER BY total DESC, account""",
         {"person": 9016, "limit": 100, **_ALL}),
+    # seeds of the financial runs: the busiest node of each kind
+    "cr_seed_account": ("SELECT id AS account, count(*) AS degree FROM (SELECT src AS id FROM {transfer} UNION ALL SELECT dst FROM {transfer}) t GROUP BY id ORDER BY degree DESC, id LIMIT 1", {}),
+    "cr_seed_card": ("SELECT src AS account, count(*) AS degree FROM {withdraw} GROUP BY src ORDER BY degree DESC, src LIMIT 1", {}),
+    "cr_seed_loan": ("SELECT src AS loan, count(*) AS degree FROM {deposit} GROUP BY src ORDER BY degree DESC, src LIMIT 1", {}),
+    "cr_seed_investor": ("SELECT src AS person, count(*) AS degree FROM {invest} WHERE src NOT IN (SELECT id FROM {company}) GROUP BY src ORDER BY degree DESC, src LIMIT 1", {}),
+    "cr_seed_owner": ("SELECT src AS person, count(*) AS degree FROM {own} WHERE src NOT IN (SELECT id FROM {company}) GROUP BY src ORDER BY degree DESC, src LIMIT 1", {}),
+    "cr_seed_guarantor": ("SELECT src AS person, count(*) AS degree FROM {guarantee} GROUP BY src ORDER BY degree DESC, src LIMIT 1", {}),
     "trace_transfers_in": ("SELECT id AS account, d FROM {near} ORDER BY d, account", {"account": 76, "hops": 2, "lo": 1705000000000, "hi": 1705400000000}),
 }
