@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from skein.llm import maxent
 from skein.llm.maxent import CLASSES, GROUPS, Model, Trainer, op2_class_maxent
 from tests.llm.conftest import write
 
@@ -43,6 +44,48 @@ def test_held_out_likelihood(spark):
     assert gain > 0.05
 
 
+def test_score_against_a_plain_version(spark, tmp_path, monkeypatch):
+    """Scores under a given model, token by token: two softmaxes, then smoothed counts inside the class."""
+    rng = np.random.default_rng(5)
+    shape = maxent.FEATURES * maxent.ROWS
+    bias = rng.normal(size=GROUPS), rng.normal(size=(GROUPS, GROUPS))
+    model = Model(*(x.astype(np.float32) for x in (*bias, rng.normal(size=(shape, GROUPS)), rng.normal(size=(shape * GROUPS, GROUPS)))))
+    monkeypatch.setattr(maxent, "train", lambda docs, common, counts: model)
+    words = [f"word{k * 37}" for k in range(400)]  # more than are classes of their own
+    rows = [(i, " ".join(rng.choice(words, size=int(rng.integers(0, 60))))) for i in range(60)] + [(60, None), (61, "never seen before")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in maxent.score(spark.read.parquet(write(spark, tmp_path, documents=df) + "/documents.parquet")).collect()}
+
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    made = {d: maxent.tokens([(0, (t or "").encode())]) for d, t in rows}
+    count, kind_of = Counter(), {}
+    for d, (token, kind, _) in made.items():
+        kind_of |= dict(zip(token.tolist(), kind.tolist()))
+        if not held[d]:
+            count.update(token.tolist())
+    common = sorted(h for h, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: maxent.OWN])
+    cls_of = {h: common.index(h) if h in common else k for h, k in kind_of.items()}
+    n_class, v_class = Counter(), Counter()
+    for h, n in count.items():
+        n_class[cls_of[h]] += n
+        v_class[cls_of[h]] += 1
+
+    def log_softmax(x, k):
+        return (x[k] - math.log(sum(math.exp(v) for v in x))) / math.log(10)
+
+    for d, (token, kind, doc) in made.items():
+        cls = np.array([cls_of[h] for h in token.tolist()])
+        f, want = maxent.features(token, cls, doc), 0.0
+        for at, (h, c) in enumerate(zip(token.tolist(), cls.tolist())):
+            g, inside = divmod(c, GROUPS)
+            used = [k * maxent.ROWS + int(f[k, at]) for k in range(maxent.FEATURES)]
+            want += log_softmax(bias[0] + sum(model.group[u].astype(float) for u in used), g)
+            want += log_softmax(bias[1][g] + sum(model.within[u * GROUPS + g].astype(float) for u in used), inside)
+            if h not in common:
+                want += math.log10((count[h] + 0.1) / (n_class[c] + 0.1 * (v_class[c] + 1)))
+        assert abs(got[d] - want) < 1e-3 * max(1, len(token)), d
+
+
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     m = Model.start(np.ones(CLASSES))
